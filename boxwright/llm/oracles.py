@@ -22,8 +22,8 @@ def _quality() -> str:
         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
         CAST(length(text) - length(regexp_replace(text, '[!?#*$%&|<>=+~^@_{{}}\[\]/\\]', '', 'g')) AS BIGINT) AS n_marks,
         CAST(len(ln) - len(list_distinct(ln)) AS BIGINT) AS n_dup_lines, CAST(len(ln) AS BIGINT) AS n_lines FROM d),
-    u AS (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM c WHERE len(w) > 8),
-    k AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(w[i:i + 7], ' ')) AS n FROM u),
+    u AS (SELECT rid, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda j: array_to_string(w[j:j + 7], ' '))) AS t FROM c WHERE len(w) > 8),
+    k AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, t) AS n FROM u),
     rep AS (SELECT rid, CAST(sum(least(8, coalesce(nx - i, 8))) AS BIGINT) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nx FROM k WHERE n >= 2) GROUP BY rid),
     ech AS (SELECT rid, count(*) AS n FROM (SELECT rid, x, lag(x) OVER (PARTITION BY rid ORDER BY i) AS p FROM (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM c)) WHERE x = p GROUP BY rid),
     m AS (SELECT c.*, coalesce(rep.n, 0) AS n_repeat_words, n_marks * 1000 // nullif(n_words, 0) AS marks, word_chars * 100 // nullif(n_words, 0) AS length,
@@ -41,3 +41,40 @@ def _quality() -> str:
 
 
 op6_quality_rules = _quality()
+
+
+def _secrets() -> str:
+    either = lambda names: "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in names.split())
+    assigned = lambda names, value: f"(?:{either(names)})[\"'']?\\x20*[:=]\\x20*[\"'']?" + value
+    kinds = (
+        ("assign", assigned("password passwd secret token api_?key", "([A-Za-z0-9+/_.=-]+)"), 8),
+        ("access", "(AKIA[A-Z0-9]{12,})", 16),
+        ("hex", "([0-9a-f]{32,})", 32),
+        ("id", assigned("access_?key_?id client_?id account_?id user_?name login", "([A-Za-z0-9@._-]+)"), 4),
+        ("key", "([A-Za-z0-9+/]{40,})", 40),
+        ("endpoint", r"((?:https?|jdbc:[a-z]+|postgresql|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9@:%._/?=&+-]+|[A-Za-z0-9.-]+\.amazonaws\.com)", 8),
+    )
+    mixed = "AND (kind <> 4 OR (regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')))"
+    each = " UNION ALL ".join(
+        f"""SELECT rid, kind, s, e FROM (SELECT rid, {k} AS kind, v, {least} AS least, CAST(sum(g + m) OVER (PARTITION BY rid ORDER BY i) AS BIGINT) AS e, e - m AS s FROM
+        (SELECT rid, unnest(generate_series(1, len(a))) AS i, unnest(list_transform(a, lambda x: length(x))) AS m, unnest(v) AS v, unnest(list_transform(p[:len(a)], lambda x: length(x))) AS g FROM
+        (SELECT rid, regexp_extract_all(t, '{p}') AS a, regexp_extract_all(t, '{p}', 1) AS v, string_split_regex(t, '{p}') AS p FROM d) WHERE len(a) > 0)) WHERE length(v) >= least {mixed}"""
+        for k, (_, p, least) in enumerate(kinds)
+    )
+    names = "[" + ", ".join(f"'{k}'" for k, _, _ in kinds) + "]"
+    listed = f"coalesce(string_agg({names}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind), '')"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+    sp AS ({each}),
+    strong AS (SELECT * FROM sp WHERE kind < 3),
+    weak AS (SELECT * FROM sp WHERE kind > 2 AND NOT EXISTS (SELECT 1 FROM strong x WHERE x.rid = sp.rid AND x.s < sp.e AND x.e > sp.s)),
+    parts AS (SELECT * FROM strong UNION ALL SELECT * FROM weak),
+    linked AS (SELECT * FROM weak a WHERE EXISTS (SELECT 1 FROM parts b WHERE a.rid = b.rid AND a.s <= b.e + 240 AND a.e >= b.s - 240 AND (a.kind IN (3, 5)) = (b.kind IN (0, 2, 4)))),
+    b AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {listed} AS base FROM strong GROUP BY rid),
+    a AS (SELECT rid, {listed} AS spans FROM (SELECT * FROM strong UNION ALL SELECT * FROM linked) GROUP BY rid)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)
+    """
+
+
+op1_secret_scan = _secrets()

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwright.llm import oracles, quality_rules
+from boxwright.llm import oracles, quality_rules, secret_scan
 from boxwright.llm.shared import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_quality_rules)}
 ORACLES = {k: v for k, v in vars(oracles).items() if k in QUERIES}
