@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwright.llm import oracles, quality_rules, secret_scan
+from boxwright.llm import html_extract, oracles, quality_rules, secret_scan, url_filter
 from boxwright.llm.shared import table
 
 
@@ -16,5 +16,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_quality_rules)}
+#: The rules of the page filter: verdict, host, path.
+PAGE_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(PAGE_RULES, url_filter.RULES_SCHEMA))
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_quality_rules, op8_url_filter, op9_html_extract)}
 ORACLES = {k: v for k, v in vars(oracles).items() if k in QUERIES}
