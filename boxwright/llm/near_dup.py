@@ -171,10 +171,12 @@ def sketch(docs: DataFrame) -> DataFrame:
                 h1, h2 = (int(_mixed(s * U64(k) + U64(k)).sum().astype(np.int64)) for k in (3, 5)) if len(s) else (0, 0)
                 rows.append((len(s), h1, h2, registers(s).tobytes() if len(s) else b""))
             out = pd.DataFrame(rows, columns=["n", "h1", "h2", "regs"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            yield out
+            yield pd.concat([batch[["id", "no_id"]].reset_index(drop=True), out], axis=1)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, h1 long, h2 long, regs binary")
+    # pandas has no null integers; a flag keeps the ids exact
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text")
+    rows = named.mapInPandas(run, "id long, no_id boolean, n long, h1 long, h2 long, regs binary")
+    return rows.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n", "h1", "h2", "regs")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:

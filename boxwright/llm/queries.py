@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwright.llm import html_extract, near_dup, oracles, quality_rules, secret_scan, url_filter
+from boxwright.llm import ann_search, html_extract, mixing, near_dup, oracles, quality_rules, secret_scan, url_filter
 from boxwright.llm.shared import table
 
 
@@ -16,6 +16,10 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,9 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_near_dup, op6_quality_rules, op8_url_filter, op9_html_extract)}
+def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_near_dup, op4_mixing, op6_quality_rules, op8_url_filter, op9_html_extract, op10_ann_search)}
 ORACLES = {k: v for k, v in vars(oracles).items() if k in QUERIES}
