@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwright.llm import ann_search, html_extract, mixing, near_dup, oracles, quality_rules, secret_scan, url_filter
+from boxwright.llm import ann_search, html_extract, mixing, near_dup, oracles, quality_model, quality_rules, secret_scan, url_filter
 from boxwright.llm.shared import table
 
 
@@ -28,6 +28,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(PAGE_RULES, url_filter.RULES_SCHEMA))
 
@@ -40,5 +44,5 @@ def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_near_dup, op4_mixing, op6_quality_rules, op8_url_filter, op9_html_extract, op10_ann_search)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_near_dup, op4_mixing, op6_quality_rules, op7_quality_model, op8_url_filter, op9_html_extract, op10_ann_search)}
 ORACLES = {k: v for k, v in vars(oracles).items() if k in QUERIES}
