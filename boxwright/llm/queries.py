@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwright.llm import ann_search, html_extract, mixing, near_dup, oracles, quality_model, quality_rules, secret_scan, url_filter
+from boxwright.llm import ann_search, html_extract, mixing, near_dup, oracles, pii_surrogates, quality_model, quality_rules, secret_scan, url_filter
 from boxwright.llm.shared import table
 
 
@@ -20,6 +20,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace_private(table(spark, sf_dir, "documents").select("doc_id", "text"), key="fixed key of the test tables")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_near_dup, op4_mixing, op6_quality_rules, op7_quality_model, op8_url_filter, op9_html_extract, op10_ann_search)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_near_dup, op4_mixing, op5_pii_surrogates, op6_quality_rules, op7_quality_model, op8_url_filter, op9_html_extract, op10_ann_search)}
 ORACLES = {k: v for k, v in vars(oracles).items() if k in QUERIES}
