@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwright.llm import ann_search, html_extract, mixing, near_dup, oracles, pii_surrogates, quality_model, quality_rules, secret_scan, url_filter
+from boxwright.llm import ann_search, html_extract, mixing, near_dup, oracles, pii_surrogates, quality_model, quality_rules, secret_scan, sentence_pieces, url_filter
 from boxwright.llm.shared import table
 
 
@@ -12,6 +12,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+#: The piece model that encodes the standard tables.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode(table(spark, sf_dir, "documents"), sentence_pieces.load(spark, PIECE_MODEL))
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,5 +56,5 @@ def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_near_dup, op4_mixing, op5_pii_surrogates, op6_quality_rules, op7_quality_model, op8_url_filter, op9_html_extract, op10_ann_search)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sentence_pieces, op3_near_dup, op4_mixing, op5_pii_surrogates, op6_quality_rules, op7_quality_model, op8_url_filter, op9_html_extract, op10_ann_search)}
 ORACLES = {k: v for k, v in vars(oracles).items() if k in QUERIES}
