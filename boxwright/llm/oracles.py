@@ -4,7 +4,7 @@ _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'
 
 
 def _quality() -> str:
-    measures = (("marks", 33, False), ("length", 50, True), ("lines", 100, False), ("echoes", 33, False))
+    measures = (("marks", 33, False), ("length", 50, True), ("lines", 200, False), ("echoes", 33, False))
     levels = []
     for depth, keys in enumerate(("", "lang, ", "lang, source, ")):
         levels.append(

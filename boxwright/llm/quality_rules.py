@@ -25,7 +25,7 @@ MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 WIDTH, TOP = 5, 1000
 FENCE, MIN_DOCS, BROADCAST_ROWS = 3, 50, 100_000
 #: Measure: the smallest quartile distance that counts, and whether low values are rejected too.
-MEASURES = {"marks": (33, False), "length": (50, True), "lines": (100, False), "echoes": (33, False)}
+MEASURES = {"marks": (33, False), "length": (50, True), "lines": (200, False), "echoes": (33, False)}
 SYMBOLS = r"[#*$%&|<>]"
 MARKS = r"[!?#*$%&|<>=+~^@_{}\[\]/\\]"
 
