@@ -8,12 +8,12 @@ set, turned into an exponential variable and truncated to a grid of powers of
 
 Classes that agree on a band of registers are candidates.  In a first round
 every member of a band's bucket is held against the bucket's smallest member
-only, so large groups of near copies cost one pair each.  In a second round
-only those buckets count that still hold several components, and there every
-pair across components is tried.  A pair is dropped without reading the sets
-if the sizes exclude it or the likelihood of its registers falls above
-``PRUNE``; all others are confirmed on their full sets.  Components come from
-joins (``shared.components``).
+only, so large groups of near copies cost one pair each; a pair is dropped
+without reading the sets if the sizes or the likelihood of its registers
+exclude it.  A second round takes the buckets that still hold several
+components and finds the remaining links across these exactly, by an equi-join
+on the rarest shingles.  All links are confirmed on the full sets.  Components
+come from joins (``shared.components``).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxwright.llm.shared import components, materialise, small
@@ -203,15 +203,49 @@ def _plausible(pairs: DataFrame) -> DataFrame:
     return fit.select("a", "b", "na", "nb", "ra", "rb").mapInPandas(run, "a long, b long")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough."""
-    sets = materialise(_sets(docs, materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")), "sets")
+def _confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose full ``sets`` are similar enough."""
     of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    rows = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", both)
+    rows = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return rows.where(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * PERCENT).select("a", "b").distinct()
 
 
+def _across(sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """a, b: all pairs across components (``comps``: node, comp) that can be
+    similar enough, and few others.
+
+    With shingles in order of frequency, similar sets share one among their
+    rarest; its place in both bounds what they can share after it.  A shingle's
+    largest component is not held against itself.
+    """
+    tokens = sets.select("node", F.xxhash64("shingles").alias("set"), F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    shared = tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    place = F.row_number().over(Window.partitionBy("node", "set").orderBy(F.coalesce("df", F.lit(1)), "s"))
+    upto = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    first = tokens.join(shared, "s", "left").withColumn("i", place).where((F.col("i") <= upto) & F.col("df").isNotNull())
+    first = materialise(first.join(comps, "node").select("s", "node", "comp", "n", "i"), "prefixes")
+    main = first.groupBy("s", "comp").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    first = materialise(first.join(main.select("s", "main"), "s"), "prefixes")
+    x = first.where("comp <> main").select("s", *(F.col(c).alias(f"{c}_a") for c in ("node", "comp", "n", "i")))
+    y = first.select("s", "main", *(F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "i")))
+    rest = 1 + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    enough = rest * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT
+    once = (F.col("comp_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
+    return x.join(y, "s").where((F.col("comp_a") != F.col("comp_b")) & once & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _without_repeats(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """``docs`` with equal rows once; only documents with several rows are
+    shuffled for it."""
+    twice = materialise(named.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "twice")
+    if not twice.limit(1).count():
+        return docs
+    twice = small(twice, BROADCAST_IDS)
+    docs = docs.select("doc_id", "text")
+    several = docs.join(twice, docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(twice, docs["doc_id"] == F.col("_id"), "left_anti").union(several)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id,
     text).
@@ -222,6 +256,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     sk = materialise(sketch(docs), "sketches")
     named = sk.where("n > 0 and doc_id is not null")
+    docs = _without_repeats(docs, named)
     classes = named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "regs")).alias("c"))
     nodes = materialise(classes.select("h1", "h2", F.col("c.doc_id").alias("node"), "c.n", "c.regs"), "classes")
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("regs", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)))
@@ -231,18 +266,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialise(_confirmed(docs, materialise(_plausible(stars.join(of("a"), "a").join(of("b"), "b")), "stars")), "links")
-    found = materialise(components(links), "components")
+    stars = materialise(_plausible(stars.join(of("a"), "a").join(of("b"), "b")), "stars")
+    sets = materialise(_sets(docs, materialise(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")), "sets")
+    found = materialise(components(materialise(_confirmed(sets, stars), "links")), "components")
 
     # Buckets of two have had their only pair.
-    held = members.where("size > 2").join(found, "node", "left").select("key", "node", "head", F.coalesce("component", "node").alias("comp"))
-    mixed = held.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    held = materialise(held.join(mixed.select("key", "main"), "key").join(nodes.select("node", "n", "regs"), "node"), "mixed")
-    x = held.where("comp <> main and node <> head").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-    y = held.where("node <> head").select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("regs").alias("rb"), "main")
-    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
-    across = x.join(y, "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & sizes)
-    more = materialise(_confirmed(docs, materialise(_plausible(across).distinct(), "across")), "links")
+    held = members.where("size > 2").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    mixed = held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    held = materialise(held.join(mixed, "key").select("node", "comp").distinct(), "mixed")
+    sets = materialise(_sets(docs, held.select("node")), "sets")
+    more = materialise(_confirmed(sets, materialise(_across(sets, held), "across")), "links")
     if more.limit(1).count():
         found = materialise(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
