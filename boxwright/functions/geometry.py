@@ -74,8 +74,9 @@ def equals(a: Box, b: Box) -> Column:
 
 def distance_sq(b: Box, p: Point) -> Column:
     """Squared distance from a point to a box, 0 inside and on the edge."""
-    dx = F.greatest(b.min_x - p.x, p.x - b.max_x, F.lit(0))
-    dy = F.greatest(b.min_y - p.y, p.y - b.max_y, F.lit(0))
+    zero = F.lit(0).cast("float")  # widens to double, if they are
+    dx = F.greatest(b.min_x - p.x, p.x - b.max_x, zero)
+    dy = F.greatest(b.min_y - p.y, p.y - b.max_y, zero)
     return dx * dx + dy * dy
 
 
