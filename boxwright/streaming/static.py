@@ -2,7 +2,8 @@
 
 The set does not change while the query runs, so this is a stateless join of a
 stream with a static table; each micro-batch is joined with the leaf table
-first and with the rows of the leaves it meets then.
+first and with the rows of the leaves it meets then.  The index is to be one
+that was saved and loaded: line numbers are not available in streaming plans.
 """
 
 from __future__ import annotations
