@@ -180,15 +180,15 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles of those documents that ``nodes`` names."""
+    """node, set (a hash), shingles of those documents that ``nodes`` names."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [s.view(np.int64) for s in shingle_sets(batch["text"].tolist())]
-            yield pd.DataFrame({"node": batch["node"], "shingles": sets})
+            yield pd.DataFrame({"node": batch["node"], "set": [int(s.sum()) for s in sets], "shingles": sets})
 
     wanted = small(nodes, BROADCAST_IDS).select(F.col("node").alias("_node"))
-    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, F.col("node") == F.col("_node"), "left_semi").mapInPandas(run, "node long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, F.col("node") == F.col("_node"), "left_semi").mapInPandas(run, "node long, set long, shingles array<long>")
 
 
 def _plausible(pairs: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def _across(sets: DataFrame, comps: DataFrame) -> DataFrame:
     rarest; its place in both bounds what they can share after it.  A shingle's
     largest component is not held against itself.
     """
-    tokens = sets.select("node", F.xxhash64("shingles").alias("set"), F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    tokens = sets.select("node", "set", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     shared = tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     place = F.row_number().over(Window.partitionBy("node", "set").orderBy(F.coalesce("df", F.lit(1)), "s"))
     upto = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1

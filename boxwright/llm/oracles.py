@@ -52,7 +52,7 @@ def _secrets() -> str:
         ("hex", "([0-9a-f]{32,})", 32),
         ("id", assigned("access_?key_?id client_?id account_?id user_?name login", "([A-Za-z0-9@._-]+)"), 4),
         ("key", "([A-Za-z0-9+/]{40,})", 40),
-        ("endpoint", r"((?:https?|jdbc:[a-z]+|postgresql|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9@:%._/?=&+-]+|[A-Za-z0-9.-]+\.amazonaws\.com)", 8),
+        ("endpoint", r"((?:https?|jdbc:[a-z]+|postgresql|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9@:%._/?=&+-]+|[A-Za-z0-9.-]{1,99}\.amazonaws\.com)", 8),
     )
     mixed = "AND (kind <> 4 OR (regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')))"
     each = " UNION ALL ".join(

@@ -40,7 +40,7 @@ SYLLABLES = {"latin": "ba ben da del fa gor ha hol ka kel la len ma mon na nor p
 _EDGE = "(?![A-Za-z0-9])"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 PATTERN = "|".join((
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,63}",
     rf"(?<![A-Za-z0-9.-])[0-9](?:[\x20-]?[0-9]){{12,18}}{_EDGE}",
     rf"(?<![A-Za-z0-9.])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}{_EDGE}(?!\.[0-9])",
     rf"(?<![A-Za-z0-9+])\+[0-9]{{1,3}}[\x20.-]?\(?[0-9]{{2,4}}\)?(?:[\x20.-]?[0-9]{{2,4}}){{2,3}}{_EDGE}",
