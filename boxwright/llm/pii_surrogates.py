@@ -51,6 +51,13 @@ PATTERN = "|".join((
     rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{EITHER})\.?\x20{_NAME}(?:\x20{_NAME}){{0,2}}",
 ))
 
+#: Every match holds a digit, an @ or a title; most texts hold none of them, and this is found out at less cost.
+TITLE = rf"(?:{MALE}|{FEMALE}|{EITHER})\.?\x20\p{{Lu}}"
+
+
+def _has_private(text: Column) -> Column:
+    return (text.rlike("[0-9@]") | text.rlike(TITLE)) & text.rlike(PATTERN)
+
 
 def _kind(m: Column) -> Column:
     return (
@@ -162,7 +169,7 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
     so it is to be kept secret.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    held = docs.where(text.rlike(PATTERN))
+    held = docs.where(_has_private(text))
     found = held.select(F.struct("doc_id", F.xxhash64(text).alias("h")).alias("d"), F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), 0)).alias("pos", "m"))
     found = materialise(found.distinct(), "mentions").withColumn("kind", _kind(F.col("m")))
     parts = found.select("d", "pos", F.col("kind").alias("whole"), F.posexplode(_pieces(F.col("kind"), F.col("m"))).alias("sub", "p")).select("d", "pos", "whole", "sub", "p.*")
@@ -176,5 +183,5 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
     woven = F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(text, PATTERN).alias("gap"), F.col("_outs").alias("out")), lambda z: F.array(z["gap"], F.coalesce(z["out"], F.lit(""))))), "")
     own = [c for c in docs.columns if c != "text"]
     done = met.select(*(held[c] for c in own), woven.alias("text"), *(f"n_{k}" for k in KINDS))
-    clean = docs.where(~text.rlike(PATTERN)).select(*own, "text", *(F.lit(0).cast("bigint").alias(f"n_{k}") for k in KINDS))
+    clean = docs.where(~_has_private(text)).select(*own, "text", *(F.lit(0).cast("bigint").alias(f"n_{k}") for k in KINDS))
     return clean.union(done).select(*docs.columns, *(f"n_{k}" for k in KINDS))
