@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from boxwright.llm.shared import let, materialise, small
 
 MARK = "▁"
-UNIT = f"\\x20+[^\\x20\\n{MARK}]*|[^\\x20\\n{MARK}]+|\\n|{MARK}"
-HOT, PENALTY = 1 << 19, 10.0
-#: Longer units are cut after so many characters.
+#: Longer runs are cut after so many characters.
 LONGEST = 400
+UNIT = f"\\x20{{1,{LONGEST}}}[^\\x20\\n{MARK}]{{0,{LONGEST}}}|[^\\x20\\n{MARK}]{{1,{LONGEST}}}|\\n|{MARK}"
+HOT, PENALTY = 1 << 19, 10.0
 BROADCAST_PIECES = 1_000_000
+#: An edge is one number: its end, its start and its piece, in so many bits from the left.
+START_BITS, PIECE_BITS = 16, 24
 
 
 @dataclass
@@ -41,6 +43,7 @@ class Pieces:
     table: DataFrame  # piece, id, score
     longest: int
     unknown: float
+    scores: list[float]
     bytes_at: list[int]
     hexes: list[str]
 
@@ -58,7 +61,7 @@ def load(spark: SparkSession, path: str) -> Pieces:
     own = {i: f"{b:02X}" for b, i in byte.items()}
     hexes = [own.get(i, "" if m.is_control(i) or m.is_unknown(i) else m.id_to_piece(i).replace(MARK, " ").encode().hex().upper()) for i in ids]
     table = spark.createDataFrame(normal, "piece string, id int, score double")
-    return Pieces(table, max(len(p) for p, _, _ in normal), min(s for _, _, s in normal) - PENALTY, [byte[b] for b in range(256)], hexes)
+    return Pieces(table, max(len(p) for p, _, _ in normal), min(s for _, _, s in normal) - PENALTY, [float(m.get_score(i)) for i in ids], [byte[b] for b in range(256)], hexes)
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -68,31 +71,31 @@ def units(docs: DataFrame) -> DataFrame:
     return rows
 
 
-def _parts(unit: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), ((F.length(unit) - 1) / LONGEST).cast("int")), lambda i: F.struct(i.alias("part"), F.substring(unit, i * LONGEST + 1, F.lit(LONGEST)).alias("s")))
+def _field(edge: Column, right: int, bits: int) -> Column:
+    return F.shiftright(edge, right).bitwiseAND((1 << bits) - 1).cast("int")
 
 
-def _best_path(edges: Column) -> Column:
-    """(start, end, id) of the edges of the best path, in order; ``edges``:
-    (end, start, id, score) sorted, with at least one for each end."""
-    node = lambda score, start, id_: F.struct(score.alias("score"), start.alias("start"), id_.alias("id"))
+def _best_path(edges: Column, scores: Column) -> Column:
+    """The edges of the best path, in order; ``edges`` are sorted by end and
+    start, with at least one for each end."""
+    end = lambda e: _field(e, START_BITS + PIECE_BITS, START_BITS)
+    start = lambda e: _field(e, PIECE_BITS, START_BITS)
 
     def step(best: Column, e: Column) -> Column:
-        score = F.get(best, e["start"])["score"] + e["score"]
-        new = F.array(node(score, e["start"], e["id"]))
-        return F.when(F.size(best) == e["end"], F.concat(best, new)).when(score > F.get(best, e["end"])["score"], F.concat(F.slice(best, F.lit(1), e["end"]), new)).otherwise(best)
+        score = F.get(best, start(e))["score"] + F.get(scores, _field(e, 0, PIECE_BITS))
+        new = F.array(F.struct(score.alias("score"), e.alias("edge")))
+        return F.when(F.size(best) == end(e), F.concat(best, new)).when(score > F.get(best, end(e))["score"], F.concat(F.slice(best, F.lit(1), end(e)), new)).otherwise(best)
 
-    first = F.array(node(F.lit(0.0), F.lit(-1), F.lit(-1)))
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).cast("bigint").alias("edge")))
 
     def back(best: Column) -> Column:
-        start = F.struct((F.size(best) - 1).alias("at"), F.array().cast("array<struct<start:int,end:int,id:int>>").alias("out"))
+        last = F.struct((F.size(best) - 1).alias("at"), F.array().cast("array<bigint>").alias("out"))
 
         def one(a: Column, i: Column) -> Column:
-            n = F.get(best, i)
-            edge = F.array(F.struct(n["start"].alias("start"), i.alias("end"), n["id"].alias("id")))
-            return F.when(a["at"] == i, F.struct(n["start"].alias("at"), F.concat(edge, a["out"]).alias("out"))).otherwise(a)
+            e = F.get(best, i)["edge"]
+            return F.when(a["at"] == i, F.struct(start(e).alias("at"), F.concat(F.array(e), a["out"]).alias("out"))).otherwise(a)
 
-        return F.aggregate(F.sequence(F.size(best) - 1, F.lit(1)), start, one)["out"]
+        return F.aggregate(F.sequence(F.size(best) - 1, F.lit(1)), last, one)["out"]
 
     return let(F.aggregate(edges, first, step), back)
 
@@ -100,26 +103,27 @@ def _best_path(edges: Column) -> Column:
 def lexicon(counted: DataFrame, pieces: Pieces) -> DataFrame:
     """unit, n, ids, exact (whether decoding them gives the unit again) of the
     distinct units of ``counted`` (unit, n)."""
-    cut = counted.select("unit", "n", F.explode(_parts(F.col("unit"))).alias("p")).select("unit", "n", "p.part", "p.s")
-    width = F.least(F.lit(pieces.longest), F.length("s") - F.col("start"))
-    starts = cut.select("*", F.explode(F.sequence(F.lit(0), F.length("s") - 1)).alias("start"))
-    subs = starts.select("unit", "n", "part", "s", "start", F.posexplode(F.transform(F.sequence(F.lit(1), width), lambda k: F.substring("s", F.col("start") + 1, k))).alias("k", "sub"))
-    key = F.when(F.col("sub") == MARK, None).otherwise(F.replace("sub", F.lit(" "), F.lit(MARK)))
-    table = small(pieces.table, BROADCAST_PIECES)
-    met = subs.withColumn("piece", key).join(table, "piece", "left").where("id is not null or k = 0")
-    edge = F.struct((F.col("start") + F.col("k") + 1).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"))
+    marked = F.when(F.col("unit") != MARK, F.replace("unit", F.lit(" "), F.lit(MARK)))
+    length = F.length("unit")
+    starts = counted.withColumn("s", marked).select("unit", "n", "s", F.explode(F.sequence(F.lit(0), length - 1)).alias("start"))
+    width = F.least(F.lit(pieces.longest), length - F.col("start"))
+    subs = starts.select("unit", "n", "start", F.posexplode(F.transform(F.sequence(F.lit(1), width), lambda k: F.substring("s", F.col("start") + 1, k))).alias("k", "piece"))
+    unknown = len(pieces.hexes)
+    met = subs.join(small(pieces.table.select("piece", "id"), BROADCAST_PIECES), "piece", "left").where("id is not null or k = 0")
+    edge = F.shiftleft((F.col("start") + F.col("k") + 1).cast("bigint"), START_BITS + PIECE_BITS) + F.shiftleft(F.col("start").cast("bigint"), PIECE_BITS) + F.coalesce("id", F.lit(unknown))
     # the hash leads the key, so that sorting compares numbers
-    lattice = met.groupBy(F.xxhash64("unit").alias("h"), "unit", "part", "n", "s").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    lattice = met.select(F.xxhash64("unit").alias("h"), "unit", "n", edge.alias("edge")).groupBy("h", "unit", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    scores = F.split(F.lit(",".join(map(repr, [*pieces.scores, pieces.unknown]))), ",").cast("array<double>")
     at = F.array(*map(F.lit, pieces.bytes_at))
 
     def ids_of(e: Column) -> Column:
         raw = lambda h: F.transform(F.sequence(F.lit(0), (F.length(h) / 2).cast("int") - 1), lambda i: F.get(at, F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
-        return F.when(e["id"] < 0, let(F.hex(F.encode(F.substring("s", e["start"] + 1, e["end"] - e["start"]), "UTF-8")), raw)).otherwise(F.array(e["id"]))
+        char = F.substring("unit", _field(e, PIECE_BITS, START_BITS) + 1, F.lit(1))
+        piece = _field(e, 0, PIECE_BITS)
+        return F.when(piece == unknown, let(F.hex(F.encode(char, "UTF-8")), raw)).otherwise(F.array(piece))
 
-    coded = lattice.select("unit", "part", "n", F.flatten(F.transform(_best_path(F.col("edges")), ids_of)).alias("ids"))
-    whole = coded.where(F.length("unit") <= LONGEST).select("unit", "n", "ids")
-    long = coded.where(F.length("unit") > LONGEST).groupBy("unit", "n").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return whole.union(long).withColumn("exact", decoded(F.col("ids"), pieces) == F.col("unit"))
+    coded = lattice.select("unit", "n", F.flatten(F.transform(_best_path(F.col("edges"), scores), ids_of)).alias("ids"))
+    return coded.withColumn("exact", decoded(F.col("ids"), pieces) == F.col("unit"))
 
 
 def decoded(ids: Column, pieces: Pieces) -> Column:
