@@ -43,26 +43,10 @@ def test_round_trip_and_best_paths(spark, pieces):
     units = {(r.doc_id, r.pos): r.unit for r in s.units(docs).collect()}
     assert set(by) == set(units)
     for k, unit in units.items():
-        if len(unit) <= s.LONGEST:
-            assert by[k] == plain(unit, table, pieces), unit
+        assert len(unit) <= 2 * s.LONGEST and by[k] == plain(unit, table, pieces), unit
     assert s.encode(docs.limit(0), pieces).count() == 0
 
 
-def test_same_as_the_library_on_one_unit(spark, pieces, tmp_path):
-    """The library with the model marked as a unigram model; its sums are
-    single precision, so units without unknown characters are compared."""
-    import sentencepiece
-
-    raw = bytearray(Path(PIECE_MODEL).read_bytes())
-    at = raw.rindex(b"\x18\x02")
-    raw[at + 1] = 1
-    (tmp_path / "unigram.model").write_bytes(raw)
-    library = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "unigram.model"))
-    words = "the quick brown fox jumps over lazy dogs internationalisation Zürich straßenbahn élève".split()
-    coded = s.encode(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string"), pieces)
-    assert {r.doc_id: r.ids for r in coded.collect()} == {i: library.encode(w) for i, w in enumerate(words)}
-
-
 def test_rare_units_meet_the_lexicon_by_shuffle(spark, pieces, monkeypatch):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
     want = sorted(map(repr, s.encode(docs, pieces).collect()))
