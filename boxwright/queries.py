@@ -101,6 +101,11 @@ def knn_batch(parcels, probes):
     return knn.knn(parcels, probes, 5)
 
 
+@query(NEAREST.format(d=D2, boxes="parcels", points="probes", k=5), "parcels", "probes")
+def knn_indexed(parcels, probes):
+    return knn.knn(parcels, probes, 5, strategy="indexed")
+
+
 @query(NEAREST.format(d=D2, boxes="parcels", points="probes", k=1), "parcels", "probes")
 def knn_k1(parcels, probes):
     return knn.knn(parcels, probes, 1)

@@ -107,13 +107,13 @@ def gap(b, x, y):
 
 
 @pytest.mark.parametrize("k", [1, 5, 400])
-@pytest.mark.parametrize("target", [16, 100_000])
-def test_knn(spark, k, target):
+@pytest.mark.parametrize(("target", "strategy"), [(16, "indexed"), (100_000, "indexed"), (16, "nested"), (16, "auto")])
+def test_knn(spark, k, target, strategy):
     a, r = boxes(300, 10, lattice=True), random.Random(11)
     q = [(i, r.uniform(-600, 600), round(r.uniform(-500, 500))) for i in range(25)]
     queries = spark.createDataFrame([(i, x, float(y)) for i, x, y in q], "qid long, x double, y double")
     want = sorted((i, n + 1, b[0], gap(b, x, y)) for i, x, y in q for n, b in enumerate(sorted(a, key=lambda b: (gap(b, x, y), b[0]))[:k]))
-    got = sorted((r.qid, r.rank, r.id, r.distance_sq) for r in knn.knn(frame(spark, a), queries, k, target).collect())
+    got = sorted((r.qid, r.rank, r.id, r.distance_sq) for r in knn.knn(frame(spark, a), queries, k, target, strategy).collect())
     assert got == want
     one = knn.knn_single(frame(spark, a), q[0][1], q[0][2], k).collect()
     assert sorted((r.rank, r.id) for r in one) == [(n, b) for i, n, b, _ in want if i == 0]
@@ -123,7 +123,7 @@ def test_knn_beyond_a_line_of_nearer_leaves(spark):
     xs = [-64 + i for i in range(64)] + [1.5 + i for i in range(64)]
     rows = [(i + 1, float(x), x / 1024, float(x), x / 1024) for i, x in enumerate(xs)]
     query = spark.createDataFrame([(0, 0.0, 0.0)], "qid long, x double, y double")
-    assert [r.id for r in knn.knn(frame(spark, rows), query, 2, 16).orderBy("rank").collect()] == [64, 65]
+    assert [r.id for r in knn.knn(frame(spark, rows), query, 2, 16, "indexed").orderBy("rank").collect()] == [64, 65]
 
 
 def test_knn_limits(spark):
