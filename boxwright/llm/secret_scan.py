@@ -23,11 +23,11 @@ from boxwright.llm.shared import let, materialise, small
 SCOPE = 240
 #: In the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
-_ANY = "".join  # of letters in either case, spelt out: regex engines differ on case folding beyond ASCII
 
 
 def _either(word: str) -> str:
-    return _ANY(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    """Letters in either case, spelt out: regex engines differ on case folding beyond ASCII."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
 
 def _assigned(names: list[str], value: str) -> str:
@@ -143,7 +143,7 @@ def mask_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Null texts stay null; texts without spans stay as they are.
     """
-    d = digests(docs).where((F.size("strong") > 0) | (F.size("weak") > 0))
+    d = materialise(digests(docs).where(F.size("weak") > 0), "secrets")
     linked = small(materialise(link_weak(d), "linked"), 100_000).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("linked").alias("_linked"))
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
