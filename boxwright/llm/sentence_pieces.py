@@ -84,7 +84,8 @@ def _best_path(edges: Column, scores: Column) -> Column:
     def step(best: Column, e: Column) -> Column:
         score = F.get(best, start(e))["score"] + F.get(scores, _field(e, 0, PIECE_BITS))
         new = F.array(F.struct(score.alias("score"), e.alias("edge")))
-        return F.when(F.size(best) == end(e), F.concat(best, new)).when(score > F.get(best, end(e))["score"], F.concat(F.slice(best, F.lit(1), end(e)), new)).otherwise(best)
+        better = score > F.element_at(best, -1)["score"]
+        return F.when(F.size(best) <= end(e), F.concat(best, new)).when(better, F.concat(F.slice(best, F.lit(1), F.size(best) - 1), new)).otherwise(best)
 
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).cast("bigint").alias("edge")))
 
