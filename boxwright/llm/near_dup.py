@@ -2,7 +2,7 @@
 
 A document's set holds its distinct shingles of ``SHINGLE`` words.  Equal sets
 form a class first, so exact copies cost one grouped minimum.  Every class gets
-a SetSketch: ``BANDS * ROWS`` registers, each the minimum of a hash over the
+a SetSketch: ``REGISTERS`` registers, each the minimum of a hash over the
 set, turned into an exponential variable and truncated to a grid of powers of
 ``BASE``.  Registers of a union are the maxima of the registers.
 
@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from boxwright.llm.shared import components, materialise, small
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS = 24, 4
-#: Parameters of the sketch, and the similarity below which an estimate drops a pair (4.5 standard errors off).
+REGISTERS = 96
+#: A pair at the threshold may agree on no band with this probability at most.
+MISSED = 1e-7
+#: Parameters of the sketch, and how many standard errors below the threshold an estimate drops a pair.
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
-PRUNE = 0.68
+ERRORS = 4.6
 #: Ids up to this number are sent to all executors, more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 BLOCK = 1 << 18
@@ -40,7 +42,7 @@ U64 = np.uint64
 _mixer = np.random.default_rng(20240613)
 _BYTES = _mixer.integers(1, 1 << 63, 256, dtype=U64)
 _KEYS = _mixer.integers(1, 1 << 63, SHINGLE, dtype=U64) | U64(1)
-_SEEDS = (_mixer.integers(1, 1 << 63, BANDS * ROWS, dtype=U64) | U64(1))[:, None]
+_SEEDS = (_mixer.integers(1, 1 << 63, REGISTERS, dtype=U64) | U64(1))[:, None]
 _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -49,6 +51,19 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+def band_rows(percent: int) -> int:
+    """Registers of a band: as many as ``MISSED`` allows."""
+    return max((r for r in range(1, 9) if REGISTERS % r == 0 and (1 - (percent / 100) ** r) ** (REGISTERS // r) <= MISSED), default=1)
+
+
+def prune(percent: int) -> float:
+    """The similarity below which an estimate drops a pair."""
+    return int(percent - 100 * ERRORS * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5) / 100
+
+
+PRUNE = prune(PERCENT)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
@@ -191,26 +206,27 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, F.col("node") == F.col("_node"), "left_semi").mapInPandas(run, "node long, set long, shingles array<long>")
 
 
-def _plausible(pairs: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
     """a, b of those pairs (a, b, na, nb, ra, rb) that sizes and registers allow."""
+    least = prune(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ra, rb = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), -1) for c in ("ra", "rb"))
-            yield batch.loc[likely(ra, rb, batch["na"].to_numpy(float), batch["nb"].to_numpy(float)), ["a", "b"]]
+            yield batch.loc[likely(ra, rb, batch["na"].to_numpy(float), batch["nb"].to_numpy(float), least), ["a", "b"]]
 
-    fit = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+    fit = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     return fit.select("a", "b", "na", "nb", "ra", "rb").mapInPandas(run, "a long, b long")
 
 
-def _confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full ``sets`` are similar enough."""
     of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     rows = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return rows.where(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * PERCENT).select("a", "b").distinct()
+    return rows.where(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * percent).select("a", "b").distinct()
 
 
-def _across(sets: DataFrame, comps: DataFrame) -> DataFrame:
+def _across(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """a, b: all pairs across components (``comps``: node, comp) that can be
     similar enough, and few others.
 
@@ -221,7 +237,7 @@ def _across(sets: DataFrame, comps: DataFrame) -> DataFrame:
     tokens = sets.select("node", "set", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     shared = tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     place = F.row_number().over(Window.partitionBy("node", "set").orderBy(F.coalesce("df", F.lit(1)), "s"))
-    upto = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    upto = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     first = tokens.join(shared, "s", "left").withColumn("i", place).where((F.col("i") <= upto) & F.col("df").isNotNull())
     first = materialise(first.join(comps, "node").select("s", "node", "comp", "n", "i"), "prefixes")
     main = first.groupBy("s", "comp").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
@@ -229,7 +245,7 @@ def _across(sets: DataFrame, comps: DataFrame) -> DataFrame:
     x = first.where("comp <> main").select("s", *(F.col(c).alias(f"{c}_a") for c in ("node", "comp", "n", "i")))
     y = first.select("s", "main", *(F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "i")))
     rest = 1 + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-    enough = rest * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT
+    enough = rest * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     once = (F.col("comp_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
     return x.join(y, "s").where((F.col("comp_a") != F.col("comp_b")) & once & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
@@ -246,9 +262,9 @@ def _without_repeats(docs: DataFrame, named: DataFrame) -> DataFrame:
     return docs.join(twice, docs["doc_id"] == F.col("_id"), "left_anti").union(several)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id,
-    text).
+    text); sets are linked whose similarity is ``percent`` per cent or more.
 
     Null and empty texts have an empty set and are linked with nothing.  Rows
     without doc_id are linked with nothing, have no component and are kept.
@@ -259,23 +275,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = _without_repeats(docs, named)
     classes = named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "regs")).alias("c"))
     nodes = materialise(classes.select("h1", "h2", F.col("c.doc_id").alias("node"), "c.n", "c.regs"), "classes")
-    keys = F.array(*(F.xxhash64(F.lit(k), F.substring("regs", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)))
+    rows = band_rows(percent)
+    keys = F.array(*(F.xxhash64(F.lit(k), F.substring("regs", 2 * rows * k + 1, 2 * rows)) for k in range(REGISTERS // rows)))
     buckets = nodes.select(F.explode(keys).alias("key"), "node")
     heads = buckets.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
     members = materialise(buckets.join(heads, "key"), "buckets")
 
     of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    stars = materialise(_plausible(stars.join(of("a"), "a").join(of("b"), "b")), "stars")
+    stars = materialise(_plausible(stars.join(of("a"), "a").join(of("b"), "b"), percent), "stars")
     sets = materialise(_sets(docs, materialise(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")), "sets")
-    found = materialise(components(materialise(_confirmed(sets, stars), "links")), "components")
+    found = materialise(components(materialise(_confirmed(sets, stars, percent), "links")), "components")
 
     # Buckets of two have had their only pair.
     held = members.where("size > 2").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     mixed = held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     held = materialise(held.join(mixed, "key").select("node", "comp").distinct(), "mixed")
     sets = materialise(_sets(docs, held.select("node")), "sets")
-    more = materialise(_confirmed(sets, materialise(_across(sets, held), "across")), "links")
+    more = materialise(_confirmed(sets, materialise(_across(sets, held, percent), "across"), percent), "links")
     if more.limit(1).count():
         found = materialise(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
@@ -285,10 +302,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one
     with the smallest doc_id (and one row of it)."""
-    seen = materialise(near_duplicates(docs), "near")
+    seen = materialise(near_duplicates(docs, percent), "near")
     gone = small(materialise(seen.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone"), BROADCAST_IDS)
     twice = small(materialise(seen.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1"), "twice"), BROADCAST_IDS)
     stay = docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")

@@ -13,6 +13,9 @@ from boxwright.llm import mixing, near_dup, quality_rules, secret_scan, sentence
 from boxwright.llm.queries import PIECE_MODEL
 from boxwright.llm.shared import materialise, table
 
+#: Documents this similar, in per cent of their shingles, are near duplicates to the pipeline.
+NEAR_PERCENT = 80
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -21,7 +24,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return near_dup.keep_one(docs)
+    return near_dup.keep_one(docs, NEAR_PERCENT)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,3 +95,22 @@ def test_nulls_repeats_and_keeping(spark):
     twice = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (7, "quite another text it is")], "doc_id long, text string")
     assert n.keep_one(twice.where("text like 'a%'")).count() == 1
     assert {r.component_id for r in n.near_duplicates(twice).collect()} == {7}
+
+
+def test_pipeline_stage_links_from_80_per_cent(spark):
+    import corpus_pipeline as c
+
+    r = random.Random(11)
+    rows = []
+    for k in (1, 2, 3, 4, 5, 6):  # single pairs on either side of both thresholds
+        for _ in range(12):
+            base = text(r, r.choice([90, 130, 200]))
+            rows += [" ".join(base), " ".join(edited(r, base, k))]
+    rows = list(enumerate(rows))
+    sets = [plain_set(t) for _, t in rows]
+    alike = [(len(a & b), len(a | b)) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    gone = [2 * i + 1 for i, (both, either) in enumerate(alike) if 100 * both >= 80 * either]
+    assert any(80 * either <= 100 * both < 85 * either for both, either in alike)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in c.one_of_each(spark, docs, "").collect()) == sorted({d for d, _ in rows} - set(gone))
+    assert (n.band_rows(85), n.PRUNE) == (4, 0.68) and (n.band_rows(80), n.prune(80)) == (3, 0.61)
