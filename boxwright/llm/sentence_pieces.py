@@ -5,7 +5,8 @@ word with the spaces before it, a line feed, or a literal piece mark.  Every
 distinct unit is encoded once: its substrings of bounded length are exploded
 and met with the piece table by an equi-join, the edges found are grouped by
 unit, and a fold over them in order of their ends keeps the best path to every
-position (Viterbi).  A character without a piece of its own costs ``PENALTY``
+position (Viterbi).  Units too long for that are walked one by one, by the same
+rule and in time linear in their length.  A character without a piece of its own costs ``PENALTY``
 more than the worst piece and is written as its bytes.
 
 The mentions of units then meet that lexicon.  Its most frequent ``HOT`` units
@@ -19,17 +20,21 @@ the one that replaying the merges would give.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxwright.llm.shared import let, materialise, small
 
 MARK = "▁"
-#: Longer runs are cut after so many characters.
+UNIT = f"\\x20+[^\\x20\\n{MARK}]*|[^\\x20\\n{MARK}]+|\\n|{MARK}"
+#: Units of more than twice as many characters are walked; each holds a run of more than so many.
 LONGEST = 400
-UNIT = f"\\x20{{1,{LONGEST}}}[^\\x20\\n{MARK}]{{0,{LONGEST}}}|[^\\x20\\n{MARK}]{{1,{LONGEST}}}|\\n|{MARK}"
+LONG = f"\\x20{{{LONGEST + 1}}}|(?<![^\\x20\\n{MARK}])[^\\x20\\n{MARK}]{{{LONGEST + 1}}}"
 HOT, PENALTY = 1 << 19, 10.0
 BROADCAST_PIECES = 1_000_000
 #: An edge is one number: its end, its start and its piece, in so many bits from the left.
@@ -41,6 +46,7 @@ class Pieces:
     """The normal pieces of a model as a table, and what decoding needs."""
 
     table: DataFrame  # piece, id, score
+    ids: dict[str, int]  # the same, on the driver
     longest: int
     unknown: float
     scores: list[float]
@@ -61,7 +67,7 @@ def load(spark: SparkSession, path: str) -> Pieces:
     own = {i: f"{b:02X}" for b, i in byte.items()}
     hexes = [own.get(i, "" if m.is_control(i) or m.is_unknown(i) else m.id_to_piece(i).replace(MARK, " ").encode().hex().upper()) for i in ids]
     table = spark.createDataFrame(normal, "piece string, id int, score double")
-    return Pieces(table, max(len(p) for p, _, _ in normal), min(s for _, _, s in normal) - PENALTY, [float(m.get_score(i)) for i in ids], [byte[b] for b in range(256)], hexes)
+    return Pieces(table, {p: i for p, i, _ in normal}, max(len(p) for p, _, _ in normal), min(s for _, _, s in normal) - PENALTY, [float(m.get_score(i)) for i in ids], [byte[b] for b in range(256)], hexes)
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -101,6 +107,40 @@ def _best_path(edges: Column, scores: Column) -> Column:
     return let(F.aggregate(edges, first, step), back)
 
 
+def walked(unit: str, pieces: dict[str, int], longest: int, scores: list[float], bytes_at: list[int]) -> list[int]:
+    """The ids of the best path through a unit that is not a piece mark; the
+    last of ``scores`` is that of a character without a piece."""
+    s, unknown = unit.replace(" ", MARK), len(scores) - 1
+    best, starts, taken = array("d", [0.0]), array("q", [0]), array("q", [0])
+    for end in range(1, len(s) + 1):
+        top, at, piece = float("-inf"), end - 1, unknown
+        for start in range(max(0, end - longest), end):
+            k = pieces.get(s[start:end], unknown if start == end - 1 else None)
+            if k is not None and best[start] + scores[k] > top:
+                top, at, piece = best[start] + scores[k], start, k
+        best.append(top)
+        starts.append(at)
+        taken.append(piece)
+    out, end = [], len(s)
+    while end:
+        out.append([bytes_at[b] for b in unit[end - 1].encode()] if taken[end] == unknown else [taken[end]])
+        end = starts[end]
+    return [i for ids in reversed(out) for i in ids]
+
+
+def long_lexicon(counted: DataFrame, pieces: Pieces) -> DataFrame:
+    """As ``lexicon``, for long units."""
+    own, longest, scores, bytes_at = pieces.ids, pieces.longest, [*pieces.scores, pieces.unknown], pieces.bytes_at
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for unit, n in zip(batch["unit"], batch["n"], strict=True):
+                yield pd.DataFrame({"unit": [unit], "n": [n], "ids": [walked(unit, own, longest, scores, bytes_at)]})
+
+    coded = counted.mapInPandas(run, "unit string, n long, ids array<int>")
+    return coded.withColumn("exact", decoded(F.col("ids"), pieces) == F.col("unit"))
+
+
 def lexicon(counted: DataFrame, pieces: Pieces) -> DataFrame:
     """unit, n, ids, exact (whether decoding them gives the unit again) of the
     distinct units of ``counted`` (unit, n)."""
@@ -141,7 +181,10 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     that share a doc_id, or have none, are told apart by ``h``.
     """
     all_units = units(docs)
-    lex = materialise(lexicon(all_units.groupBy("unit").agg(F.count("*").alias("n")), pieces), "lexicon")
+    is_long = F.length("unit") > 2 * LONGEST
+    count = lambda u: u.groupBy("unit").agg(F.count("*").alias("n"))
+    runs = units(docs.where(F.col("text").rlike(LONG))).where(is_long)
+    lex = materialise(lexicon(count(all_units.where(~is_long)), pieces).union(long_lexicon(count(runs), pieces)), "lexicon")
     # The least count with which no more than HOT units are broadcast.
     powers = {r[0]: r[1] for r in lex.groupBy(F.length(F.bin("n")).alias("bits")).count().collect()}  # 64 rows at most
     held, bits = 0, 65

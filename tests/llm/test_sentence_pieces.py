@@ -1,3 +1,5 @@
+import random
+import string
 from pathlib import Path
 
 import pytest
@@ -52,3 +54,24 @@ def test_rare_units_meet_the_lexicon_by_shuffle(spark, pieces, monkeypatch):
     want = sorted(map(repr, s.encode(docs, pieces).collect()))
     monkeypatch.setattr(s, "HOT", 3)
     assert sorted(map(repr, s.encode(docs, pieces).collect())) == want
+
+
+def test_long_runs_are_one_unit(spark, pieces):
+    r = random.Random(7)
+    base64 = ["".join(r.choice(string.ascii_letters + string.digits + "+/") for _ in range(1200)) for _ in range(12)]
+    texts = [*base64, "x" * 1000 + " 漢" * 300, "漢字かな交じり文😀" * 150, " " * 1300 + "end", "a " + "word" * 20_000, " " * 300 + "y" * 390 + "\n" + "z" * 401]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    coded = s.encode(docs, pieces).cache()
+    table = {r.piece: (r.id, r.score) for r in pieces.table.collect()}
+    by = {(r.doc_id, r.pos): r.ids for r in coded.collect()}
+    units = {(r.doc_id, r.pos): r.unit for r in s.units(docs).collect()}
+    assert set(by) == set(units) and coded.where("not exact").count() == 0
+    assert [units[i, 0] for i in range(12)] == [" " + t for t in base64]
+    score = {i: x for i, x in table.values()}
+    cut = lambda t: [i for k in ((0, 401), (401, 801), (801, 1201)) for i in plain(t[slice(*k)], table, pieces)]
+    total = lambda ids: sum(score.get(i, pieces.unknown) for i in ids)
+    assert any(total(by[i, 0]) > total(cut(" " + t)) for i, t in enumerate(base64))
+    for k, unit in units.items():
+        if len(unit) < 5000:
+            assert by[k] == plain(unit, table, pieces)
+    assert {r.doc_id: r.text for r in s.decode(coded, pieces).collect()} == dict(enumerate(texts))
