@@ -3,9 +3,10 @@
 Fixed rules reject a text with fewer than ``MIN_WORDS`` words or with more than
 ``REPEAT_PERCENT`` per cent of its words in repeated windows.  Every other text
 is held against thresholds learnt from the corpus itself: per language and
-source, each measure is summarised in a quantile sketch, an array of counts in
-``TOP + 1`` bins of fixed width ``WIDTH``.  Such sketches merge by addition, so
-they are combined before the shuffle, and those of small groups give way to
+source, each measure is summarised in a quantile sketch, counts in ``TOP`` bins
+of fixed width ``WIDTH`` and, above these, in bins of fixed relative width
+without an upper end.  Such sketches merge by addition, so they are combined
+before the shuffle, and those of small groups give way to
 the merged sketch of their language, or of the whole corpus.  Texts beyond
 ``FENCE`` quartile distances from the quartiles are rejected.
 
@@ -15,13 +16,15 @@ the thresholds have at most ``BROADCAST_ROWS`` rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.llm.shared import SPACE, let, materialise, small, words
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: Bins of a sketch; larger values share the last bin.
+#: Bins of a sketch; those of larger values are each wider than the one before by a share of 1 / TOP.
 WIDTH, TOP = 5, 1000
 FENCE, MIN_DOCS, BROADCAST_ROWS = 3, 50, 100_000
 #: Measure: the smallest quartile distance that counts, and whether low values are rejected too.
@@ -86,9 +89,20 @@ def measured(docs: DataFrame, repeats: bool = True) -> DataFrame:
     return docs.withColumn("_m", let(words(F.col("text")), of))
 
 
+def _bin(value: Column) -> Column:
+    above = TOP + F.floor(F.log(value / (WIDTH * TOP)) / math.log1p(1 / TOP))
+    return F.when(value < WIDTH * TOP, F.floor(value / WIDTH)).otherwise(above).cast("int")
+
+
+def _edge(b: Column, upper: bool = False) -> Column:
+    """The lower edge of a bin; of wide ones the upper edge if ``upper``, so that fences leave out no value of the bin."""
+    above = F.pow(F.lit(1 + 1 / TOP), b - TOP + int(upper)) * (WIDTH * TOP)
+    return F.when(b <= TOP, b * WIDTH).otherwise((F.ceil if upper else F.floor)(above)).cast("long")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """lang, source, measure, bin, n: the mergeable sketches of all documents."""
-    pairs = F.array(*(F.struct(F.lit(k).alias("measure"), F.least(F.floor(F.col(f"_m.{k}") / WIDTH), F.lit(TOP)).cast("int").alias("bin")) for k in MEASURES))
+    pairs = F.array(*(F.struct(F.lit(k).alias("measure"), _bin(F.col(f"_m.{k}")).alias("bin")) for k in MEASURES))
     rows = measured(docs.select("lang", "source", "text"), repeats=False).where("_m.n_words > 0")
     rows = rows.select("lang", "source", F.explode(pairs).alias("p")).select("lang", "source", "p.*")
     return rows.groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
@@ -108,8 +122,8 @@ def thresholds(sketch: DataFrame) -> DataFrame:
             "upto": F.expr(f"sum(n) over (partition by {ordered} order by bin)"),
             "total": F.expr(f"sum(n) over (partition by {ordered})"),
         })
-        at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bin"))) * WIDTH
-        levels.append(ranked.groupBy(*keys, "measure").agg(at(1).alias(f"q1_{depth}"), at(3).alias(f"q3_{depth}"), F.max("total").alias(f"n_{depth}")))
+        at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bin")))
+        levels.append(ranked.groupBy(*keys, "measure").agg(_edge(at(1)).alias(f"q1_{depth}"), _edge(at(3), upper=True).alias(f"q3_{depth}"), F.max("total").alias(f"n_{depth}")))
     own = levels[2]
     joined = own.join(levels[1].withColumnRenamed("lang", "_lang").withColumnRenamed("measure", "_measure"), own["lang"].eqNullSafe(F.col("_lang")) & (own["measure"] == F.col("_measure"))).drop("_lang", "_measure")
     joined = joined.join(levels[0], "measure")

@@ -79,3 +79,12 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, words(50, 1), "en", "s", 7, True)], SCHEMA + ", n_words int, kept boolean")
     assert q.keep_good(df).columns == df.columns
     assert q.quality_report(df).first().n_words == 50
+
+
+def test_groups_of_large_values(spark):
+    long = lambda i, n: " ".join("語" * n + str(i * 100 + k) for k in range(25))
+    marked = lambda i, n: " ".join(f"w{i * 100 + k}" + "|" * n for k in range(25))
+    rows = [(i, long(i, 60 + i % 40), "ja", "web") for i in range(100)] + [(100 + i, long(i, 3000), "th", "web") for i in range(60)] + [(200 + i, marked(i, 6 + i % 5), "en", "tables") for i in range(100)]
+    odd = [(900, long(9, 2000), "ja", "web"), (901, marked(9, 200), "en", "tables"), (902, long(9, 30_000), "th", "web"), (903, words(60, 3), "th", "web")]
+    kept = {r.doc_id: r.kept for r in q.quality_report(spark.createDataFrame(rows + odd, SCHEMA)).collect()}
+    assert all(kept[r[0]] for r in rows) and not any(kept[r[0]] for r in odd)
