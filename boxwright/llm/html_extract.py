@@ -2,12 +2,12 @@
 
 Markup is stripped into lines (one per block element).  A line weighs as many
 characters as it has outside links, nothing if it stands in an element that
-announces furniture (menus, adverts, forms, comments and the like), and at
-least ``FLOOR`` in the page's article element, where there is one; lines
-outside that element then weigh nothing.  The weights are summed over sliding
-windows of ``WINDOW`` lines.  Text surges where a window reaches ``SURGE`` and
-dives where one is empty; all lines that weigh something between a surge and
-the next dive are kept.
+announces furniture (menus, adverts, forms, comments and the like), and
+``BONUS`` more in an article element.  The weights are summed over sliding
+windows of ``WINDOW`` lines, which do not reach across the edge of an article.
+Text surges where a window reaches ``SURGE`` and dives where one is empty or an
+article begins or ends; all lines that weigh something between a surge and the
+next dive are kept.  If nothing surges, the lines in articles are kept.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-WINDOW, SURGE, FLOOR = 3, 60, 60
+WINDOW, SURGE, BONUS = 3, 60, 20
 
 # Elements by their role.
 RAW = "script|style|noscript|template|iframe|svg|canvas|object|textarea|select|title|math|audio|video"
@@ -140,21 +140,28 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
 
 
 def main_text(page: str | None) -> str:
-    """The kept lines, joined by line feeds; empty for null or if nothing surges."""
+    """The kept lines, joined by line feeds; empty for null or if nothing
+    surges and there is no article."""
     if not page:
         return ""
-    found, has_article = lines(page)
-    if has_article:
-        weights = [max(FLOOR, n) if inside else 0 for _, n, inside in found]
-    else:
-        weights = [n for _, n, _ in found]
-    kept, inside = [], False
-    for i, (text, _, _) in enumerate(found):
-        window = sum(weights[i : i + WINDOW])
-        inside = window >= SURGE or inside and window > 0
-        if inside and weights[i]:
-            kept.append(text)
-    return "\n".join(kept)
+    found, _ = lines(page)
+    stretches: list[list[tuple[str, int]]] = []
+    before = None
+    for text, n, within in found:
+        if text and within != before:
+            stretches.append([])
+            before = within
+        if stretches:
+            stretches[-1].append((text, n + BONUS * within if text else 0))
+    kept = []
+    for stretch in stretches:
+        inside = False
+        for i, (text, weight) in enumerate(stretch):
+            window = sum(w for _, w in stretch[i : i + WINDOW])
+            inside = window >= SURGE or inside and window > 0
+            if inside and weight:
+                kept.append(text)
+    return "\n".join(kept or [text for text, _, within in found if within])
 
 
 @F.pandas_udf(StringType())

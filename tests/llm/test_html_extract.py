@@ -32,6 +32,15 @@ def test_odd_pages(page, want):
     assert h.main_text(page) == want or page in ("<" * 5000, "<a <a" * 5000)
 
 
+def test_distribution_decides_beside_an_article_element():
+    card = "<article class='card'><h3>Card</h3><p>Short words</p></article>"
+    story = f"<div><h2>Head</h2><div>{LONG}</div><div>Short.</div><div>{LONG}</div></div>"
+    assert h.main_text(f"<body>{card}{story}{card}</body>").split("\n") == ["Head", LONG, "Short.", LONG]
+    article = f"<article><h2>Head</h2><p>{LONG}</p><p>Short.</p></article>"
+    assert h.main_text(f"<body><p>Before</p>{article}<p>After</p></body>").split("\n") == ["Head", LONG, "Short."]
+    assert h.main_text(f"<body>{article}<div>{LONG}</div></body>").split("\n") == ["Head", LONG, "Short.", LONG]
+
+
 def test_frame(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y"), (None, "v", "", "z")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
