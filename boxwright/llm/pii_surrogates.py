@@ -4,7 +4,10 @@ Detected entities are reduced to a normal form (digits of a number, lower case
 of an address, one token of a name).  A keyed hash of the normal form gives the
 surrogate, so all mentions of an entity get the same one, in the format in
 which each is written: lengths, separators, case, country and issuer digits,
-the check digit of cards, and for names script and gender are kept.  Surrogates
+the check digit of cards, and for names script and gender are kept.  A name is
+found behind a title; its tokens are then found without one in the same text,
+and a title that tells no gender takes it from other mentions of the given
+name.  Surrogates
 are checked over the whole corpus: one that equals a real entity or the
 surrogate of another one is drawn anew, until all are distinct.
 
@@ -19,11 +22,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.shared import let, materialise
+from boxwright.llm.shared import let, materialise, small
 
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "name")
 #: From this attempt on, addresses may get longer and the parts of an IP address any length.
 WIDEN = 6
+#: Given names up to this number are sent to all executors, more are joined by shuffle.
+BROADCAST_NAMES = 100_000
 
 # Titles and given names by gender, surname syllables by script.
 MALE, FEMALE, EITHER = "Mr|Herr|Señor|Monsieur|Господин", "Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mme|Mlle|Госпожа", "Dr|Prof"
@@ -43,14 +48,21 @@ PATTERN = "|".join((
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,63}",
     rf"(?<![A-Za-z0-9.-])[0-9](?:[\x20-]?[0-9]){{12,18}}{_EDGE}",
     rf"(?<![A-Za-z0-9.])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}{_EDGE}(?!\.[0-9])",
-    rf"(?<![A-Za-z0-9+])\+[0-9]{{1,3}}[\x20.-]?\(?[0-9]{{2,4}}\)?(?:[\x20.-]?[0-9]{{2,4}}){{2,3}}{_EDGE}",
+    rf"(?<![A-Za-z0-9+])\+[0-9]{{1,3}}[\x20.-]?\(?[0-9]{{1,4}}\)?(?:[\x20.-]?[0-9]{{2,4}}){{2,5}}{_EDGE}",
     rf"(?<![A-Za-z0-9])\([0-9]{{3}}\)\x20?[0-9]{{3}}[\x20.-][0-9]{{4}}{_EDGE}",
-    rf"(?<![A-Za-z0-9.-])[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}{_EDGE}",
+    rf"(?<![A-Za-z0-9.-])[0-9]{{3}}[\x20.-][0-9]{{3}}[\x20.-][0-9]{{4}}{_EDGE}",
+    rf"(?<![A-Za-z0-9.-])(?:[2-9][0-9]{{9}}|0[1-9][0-9]{{8,9}}){_EDGE}(?![.-][0-9])",
+    rf"(?<![A-Za-z0-9.-])0[1-9](?:[\x20.][0-9]{{2}}){{4}}{_EDGE}",
+    rf"(?<![A-Za-z0-9.-])(?=(?:[\x20/-]?[0-9]){{9,12}}{_EDGE})0[0-9]{{1,4}}[\x20/-][0-9]{{3,8}}(?:[\x20-][0-9]{{2,5}}){{0,3}}{_EDGE}",
     rf"(?<![A-Za-z0-9-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![A-Za-z0-9-])",
     rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{3,7}}(?:\x20?[A-Z0-9]{{1,3}})?{_EDGE}",
     rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{EITHER})\.?\x20{_NAME}(?:\x20{_NAME}){{0,2}}",
 ))
 
+#: Words that are looked up among the names of their text, and what a name may have behind it.
+WORD = r"(?<!\p{L})\p{L}[\p{L}'’-]*"
+POSSESSIVE = "['’][sS]?$"
+
 #: Every match holds a digit, an @ or a title; most texts hold none of them, and this is found out at less cost.
 TITLE = rf"(?:{MALE}|{FEMALE}|{EITHER})\.?\x20\p{{Lu}}"
 
@@ -63,7 +75,7 @@ def _kind(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email").when(m.rlike(rf"^(?:{MALE}|{FEMALE}|{EITHER})\.?\x20"), "name").when(m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip")
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(m.rlike("^[A-Z]"), "iban")
-        .when(m.startswith("+") | m.startswith("(") | m.rlike("^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$"), "phone").otherwise("card")
+        .when(m.startswith("+") | m.startswith("(") | (F.length(F.regexp_replace(m, "[^0-9]", "")) < 13), "phone").otherwise("card")
     )
 
 
@@ -71,6 +83,10 @@ def _chars(x: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substring(x, i, F.lit(1)))
 
 
+def _bare(token: Column) -> Column:
+    return F.lower(F.regexp_replace(token, POSSESSIVE, ""))
+
+
 def _pieces(kind: Column, m: Column) -> Column:
     """(kind, text, norm) of the parts of a mention that are replaced one by
     one; those of kind 'keep' stay.  Only names have more than one part."""
@@ -78,7 +94,7 @@ def _pieces(kind: Column, m: Column) -> Column:
     title = F.regexp_extract(m, rf"^({MALE}|{FEMALE}|{EITHER})\.?\x20", 0)
     gender = F.when(m.rlike(f"^(?:{FEMALE})\\b"), "f").when(m.rlike(f"^(?:{MALE})\\b"), "m").otherwise("x")
     tokens = F.split(m.substr(F.length(title) + 1, F.length(m)), " ")
-    named = F.transform(tokens, lambda t, i: part(F.when(i == F.size(tokens) - 1, "surname").otherwise(F.concat(F.lit("given_"), gender)), F.concat(F.when(i > 0, " ").otherwise(""), t), F.lower(t)))
+    named = F.transform(tokens, lambda t, i: part(F.when(i == F.size(tokens) - 1, "surname").otherwise(F.concat(F.lit("given_"), gender)), F.concat(F.when(i > 0, " ").otherwise(""), t), _bare(t)))
     norm = F.when(kind == "email", F.lower(m)).when(kind == "ip", m).otherwise(F.regexp_replace(m, "[^A-Za-z0-9]", ""))
     return F.when(kind == "name", F.concat(F.array(part(F.lit("keep"), title, F.lit(""))), named)).otherwise(F.array(part(kind, m, norm)))
 
@@ -92,7 +108,7 @@ def _drawn(key: str, kind: Column, norm: Column, attempt: int) -> Column:
         value = lambda i: F.conv(F.substring(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
         stays = (
             F.when(kind == "email", F.length(norm) - F.length(F.substring_index(norm, ".", -1))).otherwise(F.length(norm)),  # to the end
-            F.when(kind == "iban", 2).when((kind == "card") | ((kind == "phone") & (F.length(norm) > 10)), 1).otherwise(0),  # from the start
+            F.when(kind == "iban", 2).when((kind == "card") | ((kind == "phone") & ((F.length(norm) > 10) | norm.startswith("0"))), 1).otherwise(0),  # from the start
         )
 
         def char(c: Column, i: Column) -> Column:
@@ -154,15 +170,32 @@ def _written(kind: Column, text: Column, new: Column) -> Column:
     shift = F.length(new) - F.length(text)
     address = F.array_join(F.transform(_chars(new), lambda c, i: F.when(upper(F.substring(text, F.greatest(i + 1 - shift, F.lit(1)), F.lit(1))), F.upper(c)).otherwise(c)), "")
     blank = F.when(text.startswith(" "), " ").otherwise("")
-    bare = F.ltrim(text)
-    name = F.concat(blank, F.when((F.length(bare) > 1) & upper(bare), F.upper(new)).otherwise(F.initcap(new)))
+    bare = F.regexp_replace(F.ltrim(text), POSSESSIVE, "")
+    name = F.concat(blank, F.when((F.length(bare) > 1) & upper(bare), F.upper(new)).otherwise(F.initcap(new)), F.regexp_extract(text, POSSESSIVE, 0))
     return F.when(kind == "keep", text).when(kind == "email", address).when(kind == "ip", new).when(kind.isin("phone", "card", "ssn", "iban"), number).otherwise(name)
 
 
+def _with_gender(parts: DataFrame) -> DataFrame:
+    """``parts`` where given names behind a title that tells no gender have the
+    gender of their other mentions, if these agree."""
+    told = parts.where(F.col("kind").isin("given_m", "given_f")).groupBy(F.col("norm").alias("_norm")).agg(F.min("kind").alias("_low"), F.max("kind").alias("_high"))
+    told = small(materialise(told.where("_low = _high"), "genders"), BROADCAST_NAMES)
+    met = parts.join(told, (F.col("kind") == "given_x") & (F.col("norm") == F.col("_norm")), "left")
+    return met.withColumn("kind", F.coalesce("_low", "kind")).drop("_norm", "_low", "_high")
+
+
+def _named(word: Column, names: Column) -> Column:
+    """The surrogate that ``names`` has for a capitalised word; null for others."""
+    return F.when(word.rlike(r"^\p{Lu}"), F.element_at(names, _bare(word)))
+
+
 def replace_private(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` (doc_id, text and any others) with surrogates in the texts, and
     a count ``n_<kind>`` for each of ``KINDS``.
 
+    ``n_name`` counts mentions with a title and without.  A token that is both a
+    given name and a surname in a text counts as a surname there; one that the
+    text also has as a word in small letters is replaced only behind a title.
     Null texts stay null, texts without entities stay as they are; both count
     0.  Rows with one doc_id and one text, and rows without doc_id, are treated
     like others.  Whoever has ``key`` can recompute the surrogate of a guess,
@@ -173,15 +206,35 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
     found = held.select(F.struct("doc_id", F.xxhash64(text).alias("h")).alias("d"), F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), 0)).alias("pos", "m"))
     found = materialise(found.distinct(), "mentions").withColumn("kind", _kind(F.col("m")))
     parts = found.select("d", "pos", F.col("kind").alias("whole"), F.posexplode(_pieces(F.col("kind"), F.col("m"))).alias("sub", "p")).select("d", "pos", "whole", "sub", "p.*")
+    parts = materialise(_with_gender(parts), "parts")
     new = surrogates(parts.where("kind <> 'keep'").select("kind", "norm"), key)
     written = parts.join(new, ["kind", "norm"], "left").withColumn("out", _written(F.col("kind"), F.col("text"), F.col("new")))
     by_mention = written.groupBy("d", "pos").agg(F.first("whole").alias("whole"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sub", "out"))), lambda x: x["out"]), "").alias("out"))
     counts = [F.count(F.when(F.col("whole") == k, 1)).alias(f"n_{k}") for k in KINDS]
     by_doc = by_mention.groupBy("d").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]).alias("_outs"), *counts)
-    by_doc = by_doc.select(F.col("d.doc_id").alias("_id"), F.col("d.h").alias("_h"), "_outs", *(f"n_{k}" for k in KINDS))
+    tokens = written.where((F.col("kind") == "surname") | F.col("kind").startswith("given")).groupBy("d", "norm").agg(F.max(F.struct("kind", "new"))["new"].alias("new"))
+    by_doc = by_doc.join(tokens.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("norm", "new"))).alias("_names")), "d", "left")
+    by_doc = by_doc.select(F.col("d.doc_id").alias("_id"), F.col("d.h").alias("_h"), "_outs", "_names", *(f"n_{k}" for k in KINDS))
     met = held.join(by_doc, held["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")))
-    woven = F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(text, PATTERN).alias("gap"), F.col("_outs").alias("out")), lambda z: F.array(z["gap"], F.coalesce(z["out"], F.lit(""))))), "")
+    gaps = F.split(text, PATTERN)
+    words = lambda x: F.regexp_extract_all(x, F.lit(WORD), 0)
+    names = let(F.array_distinct(words(text)), lambda all_words: F.map_filter("_names", lambda k, _: ~F.array_contains(all_words, k)))
+
+    def renamed(gap: Column, known: Column) -> Column:
+        swap = lambda w: let(_named(w, known), lambda new: F.when(new.isNull(), w).otherwise(_written(F.lit("surname"), w, new)))
+        return F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(gap, WORD).alias("sep"), words(gap).alias("word")), lambda z: F.array(z["sep"], F.coalesce(swap(z["word"]), F.lit(""))))), "")
+
+    def further(known: Column) -> Column:
+        found_in = lambda gap: F.size(F.filter(words(gap), lambda w: _named(w, known).isNotNull()))
+        return F.struct(
+            F.transform(gaps, lambda gap: renamed(gap, known)).alias("gaps"),
+            F.aggregate(gaps, F.lit(0).cast("bigint"), lambda n, gap: n + found_in(gap)).alias("n"),
+        )
+
+    met = met.withColumn("_more", F.when(F.col("_names").isNotNull(), let(names, further)).otherwise(F.struct(gaps.alias("gaps"), F.lit(0).cast("bigint").alias("n"))))
+    woven = F.array_join(F.flatten(F.transform(F.arrays_zip(F.col("_more.gaps").alias("gap"), F.col("_outs").alias("out")), lambda z: F.array(z["gap"], F.coalesce(z["out"], F.lit(""))))), "")
     own = [c for c in docs.columns if c != "text"]
-    done = met.select(*(held[c] for c in own), woven.alias("text"), *(f"n_{k}" for k in KINDS))
+    counted = {k: F.col(f"n_{k}") for k in KINDS} | {"name": F.col("n_name") + F.col("_more.n")}
+    done = met.select(*(held[c] for c in own), woven.alias("text"), *(counted[k].alias(f"n_{k}") for k in KINDS))
     clean = docs.where(~_has_private(text)).select(*own, "text", *(F.lit(0).cast("bigint").alias(f"n_{k}") for k in KINDS))
     return clean.union(done).select(*docs.columns, *(f"n_{k}" for k in KINDS))

@@ -57,3 +57,34 @@ def test_long_and_odd_texts(spark):
     got = {r.doc_id: r for r in run(spark, rows)}
     assert got[2].n_email == 1 and got[2].text.startswith("x" * 100_000 + " ") and got[3].text == rows[2][1]
     assert run(spark, []) == []
+
+
+def test_further_mentions_and_gender(spark):
+    rows = [
+        (1, "Mr John Smith called. Smith said that John, SMITH's friend, is in. Smithers and blacksmith stay.", ""),
+        (2, "Dr Anna Brown met Mrs Anna Brown. Anna's dog is brown, Brown said.", ""),
+        (3, "Smith without a title in this text.", ""),
+        (4, "Dr Mr", ""),
+    ]
+    got = {r.doc_id: r for r in run(spark, rows)}
+    given, surname = re.match(r"Mr (\w+) (\w+) called", got[1].text).groups()
+    assert got[1].text == f"Mr {given} {surname} called. {surname} said that {given}, {surname.upper()}'s friend, is in. Smithers and blacksmith stay."
+    assert got[1].n_name == 4
+    first = re.match(r"Dr (\w+) (\w+) met", got[2].text).groups()
+    assert first[0] in p.GIVEN["latin", "f"].split()
+    assert got[2].text == f"Dr {first[0]} {first[1]} met Mrs {first[0]} {first[1]}. {first[0]}'s dog is brown, Brown said." and got[2].n_name == 3
+    assert got[3].text == rows[2][1] and got[3].n_name == 0
+
+
+def test_phone_formats(spark):
+    phones = ["+33 1 23 45 67 89", "01 23 45 67 89", "020 7946 0958", "030 1234567", "555 123 4567", "5551234567", "0301234567", "+1 (499) 555-6503"]
+    rows = [(i, f"call {x}.", "") for i, x in enumerate(phones)]
+    others = ["05/2024", "01-02-2024", "01/02/2024 10:00", "1700000000", "v1.2.3", "12 345 678", "2024-01-02 10:11:12", "0.123456789"]
+    rows += [(100 + i, f"at {x} it was", "") for i, x in enumerate(others)]
+    got = {r.doc_id: r for r in run(spark, rows)}
+    shape = lambda t: re.sub(r"\d", "9", t)
+    for i, text, _ in rows:
+        if i < 100:
+            assert got[i].n_phone == 1 and got[i].text != text and shape(got[i].text) == shape(text), text
+        else:
+            assert got[i].text == text
