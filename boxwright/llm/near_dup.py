@@ -9,8 +9,8 @@ set, turned into an exponential variable and truncated to a grid of powers of
 Classes that agree on a band of registers are candidates.  In a first round
 every member of a band's bucket is held against the bucket's smallest member
 only, so large groups of near copies cost one pair each; a pair is dropped
-without reading the sets if the sizes or the likelihood of its registers
-exclude it.  A second round takes the buckets that still hold several
+without reading the sets if the sizes exclude it or, in buckets of more than
+two, the likelihood of its registers.  A second round takes the buckets that still hold several
 components and finds the remaining links across these exactly, by an equi-join
 on the rarest shingles.  All links are confirmed on the full sets.  Components
 come from joins (``shared.components``).
@@ -207,16 +207,17 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
-    """a, b of those pairs (a, b, na, nb, ra, rb) that sizes and registers allow."""
+    """a, b of those pairs (a, b, alone, na, nb, ra, rb) that sizes and, unless
+    they are ``alone``, registers allow."""
     least = prune(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ra, rb = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), -1) for c in ("ra", "rb"))
-            yield batch.loc[likely(ra, rb, batch["na"].to_numpy(float), batch["nb"].to_numpy(float), least), ["a", "b"]]
+            yield batch.loc[batch["alone"].to_numpy(bool) | likely(ra, rb, batch["na"].to_numpy(float), batch["nb"].to_numpy(float), least), ["a", "b"]]
 
     fit = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return fit.select("a", "b", "na", "nb", "ra", "rb").mapInPandas(run, "a long, b long")
+    return fit.select("a", "b", "alone", "na", "nb", "ra", "rb").mapInPandas(run, "a long, b long")
 
 
 def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -282,12 +283,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = materialise(buckets.join(heads, "key"), "buckets")
 
     of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    # the second round passes over buckets of two, so no estimate may drop their only pair
+    stars = members.where("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg((F.min("size") == 2).alias("alone"))
     stars = materialise(_plausible(stars.join(of("a"), "a").join(of("b"), "b"), percent), "stars")
     sets = materialise(_sets(docs, materialise(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")), "sets")
     found = materialise(components(materialise(_confirmed(sets, stars, percent), "links")), "components")
 
-    # Buckets of two have had their only pair.
+    # Buckets of two have had their only pair, on the full sets.
     held = members.where("size > 2").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     mixed = held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     held = materialise(held.join(mixed, "key").select("node", "comp").distinct(), "mixed")

@@ -114,3 +114,15 @@ def test_pipeline_stage_links_from_80_per_cent(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(x.doc_id for x in c.one_of_each(spark, docs, "").collect()) == sorted({d for d, _ in rows} - set(gone))
     assert (n.band_rows(85), n.PRUNE) == (4, 0.68) and (n.band_rows(80), n.prune(80)) == (3, 0.61)
+
+
+def test_no_estimate_drops_the_only_pair_of_a_bucket(spark, monkeypatch):
+    r = random.Random(13)
+    rows = []
+    for _ in range(20):
+        base = text(r, 200)
+        rows += [" ".join(base), " ".join(edited(r, base, 2))]
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(n, "ERRORS", -3)  # the estimate drops nearly all of these pairs
+    got = {x.doc_id: tuple(x)[1:] for x in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain(rows)
