@@ -1,94 +1,265 @@
 """SentencePiece encoding and decoding as relations.
 
-A text, with a space put before it, falls into units that no piece crosses: a
-word with the spaces before it, a line feed, or a literal piece mark.  Every
+A text, with a space put before it, is cut into units wherever no piece holds
+the two characters at a place side by side, so no piece crosses a cut.  Every
 distinct unit is encoded once: its substrings of bounded length are exploded
 and met with the piece table by an equi-join, the edges found are grouped by
-unit, and a fold over them in order of their ends keeps the best path to every
-position (Viterbi).  Units too long for that are walked one by one, by the same
-rule and in time linear in their length.  A character without a piece of its own costs ``PENALTY``
-more than the worst piece and is written as its bytes.
-
-The mentions of units then meet that lexicon.  Its most frequent ``HOT`` units
-at most are broadcast, so only the mentions of rare ones are shuffled; the
-texts are not, and no unit is a hot key.
-
-The path is the one of greatest total score, as a unigram model defines it.
-For a model trained by merges the scores are ranks, and the path need not be
-the one that replaying the merges would give.
+unit, and a fold over them gives the pieces.  The fold follows the model.  For
+a unigram model it keeps the best path to every position (Viterbi).  The
+scores of a model trained by merges are only the order of the merges, and the
+greatest sum of them is not what the model means; there the fold takes the
+first edge that joins two neighbours, again and again, as the merges do.  Units
+of more than ``LONGEST`` characters are walked one by one to the same result,
+in time close to linear in their length.  A character without a piece is
+written as its bytes.
+
+Texts are neither shuffled nor taken apart into rows.  The units that are
+frequent in a sample of the texts form a cache of bounded size, which every
+executor gets; a text becomes runs of cached units, with a row each, and single
+rows for its other units, and only these meet the rest of the lexicon.  What
+the sample is decides how many rows are shuffled, never what comes out.
 """
 
 from __future__ import annotations
 
-from array import array
+import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.llm.shared import let, materialise, small
+from boxwright.llm.shared import let, materialise
 
 MARK = "▁"
-UNIT = f"\\x20+[^\\x20\\n{MARK}]*|[^\\x20\\n{MARK}]+|\\n|{MARK}"
-#: Units of more than twice as many characters are walked; each holds a run of more than so many.
-LONGEST = 400
-LONG = f"\\x20{{{LONGEST + 1}}}|(?<![^\\x20\\n{MARK}])[^\\x20\\n{MARK}]{{{LONGEST + 1}}}"
-HOT, PENALTY = 1 << 19, 10.0
+#: Longer units are walked; in an edge, starts and ends take 6 bits.
+LONGEST, PENALTY = 60, 10.0
 BROADCAST_PIECES = 1_000_000
-#: An edge is one number: its end, its start and its piece, in so many bits from the left.
-START_BITS, PIECE_BITS = 16, 24
+#: The cache holds the units that are most frequent in about so many bytes of text: at most so many, of so many bytes.
+SAMPLE_BYTES, CACHE_UNITS, CACHE_BYTES = 1 << 26, 1 << 18, 1 << 23
+#: Bits of the table of neighbours; where two pairs of characters share one, units are longer than they need be.
+PAIRS = 1 << 20
+#: Characters of a text that are cut at a time, distinct units that are counted at a time, and ids of a batch of rows.
+BLOCK, COUNTED, BATCH = 1 << 20, 1 << 17, 1 << 20
 
 
 @dataclass
 class Pieces:
-    """The normal pieces of a model as a table, and what decoding needs."""
-
-    table: DataFrame  # piece, id, score
-    ids: dict[str, int]  # the same, on the driver
-    longest: int
-    unknown: float
-    scores: list[float]
+    """A model: its normal pieces in order of their scores (a piece's number is
+    its place in that order), and what decoding needs."""
+
+    spark: SparkSession
+    pieces: list[str]
+    ids: list[int]
+    scores: list[float]  # and, last, that of a character without a piece
+    ranks: list[int]  # of the scores, also with that; equal scores have one rank
+    merges: bool
     bytes_at: list[int]
     hexes: list[str]
 
+    @property
+    def longest(self) -> int:
+        return max(map(len, self.pieces))
+
+    def _small(self, rows: list[tuple], schema: str) -> DataFrame:
+        df = self.spark.createDataFrame(rows, schema)
+        return F.broadcast(df) if len(rows) <= BROADCAST_PIECES else df
+
+    def table(self) -> DataFrame:
+        return self._small(list(zip(self.pieces, range(len(self.pieces)), self.ranks, strict=False)), "piece string, place int, rank int")
+
+    def heads(self) -> DataFrame:
+        """Of all pieces that begin with the same three characters, the length of the longest."""
+        longest: dict[str, int] = {}
+        for p in self.pieces:
+            if len(p) > 2:
+                longest[p[:3]] = max(len(p), longest.get(p[:3], 0))
+        return self._small(list(longest.items()), "head string, most int")
+
 
 def load(spark: SparkSession, path: str) -> Pieces:
-    """Read a model with byte fallback.  ``path`` is read on the driver only."""
+    """Read a model with byte fallback from a file on the driver."""
     from sentencepiece import SentencePieceProcessor
 
-    m = SentencePieceProcessor(model_file=path)
+    return from_processor(spark, SentencePieceProcessor(model_file=path))
+
+
+def from_processor(spark: SparkSession, m) -> Pieces:
+    """The pieces of a ``SentencePieceProcessor``."""
+    from sentencepiece.sentencepiece_model_pb2 import ModelProto
+
+    kind = ModelProto.FromString(m.serialized_model_proto()).trainer_spec.model_type
+    if kind not in (1, 2):
+        raise ValueError("neither a unigram model nor one trained by merges")
     ids = range(m.get_piece_size())
     byte = {int(m.id_to_piece(i)[1:-1], 16): i for i in ids if m.is_byte(i)}
     if len(byte) != 256:
         raise ValueError("the model has no byte pieces, so not every text can be encoded")
-    normal = [(m.id_to_piece(i), i, float(m.get_score(i))) for i in ids if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
+    normal = sorted((-float(m.get_score(i)), i) for i in ids if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i)))
     own = {i: f"{b:02X}" for b, i in byte.items()}
     hexes = [own.get(i, "" if m.is_control(i) or m.is_unknown(i) else m.id_to_piece(i).replace(MARK, " ").encode().hex().upper()) for i in ids]
-    table = spark.createDataFrame(normal, "piece string, id int, score double")
-    return Pieces(table, {p: i for p, i, _ in normal}, max(len(p) for p, _, _ in normal), min(s for _, _, s in normal) - PENALTY, [float(m.get_score(i)) for i in ids], [byte[b] for b in range(256)], hexes)
+    scores = [-c for c, _ in normal]
+    scores.append(min(scores) - PENALTY)
+    ranks = {x: k for k, x in enumerate(sorted(set(scores), reverse=True))}
+    return Pieces(spark, [m.id_to_piece(i) for _, i in normal], [i for _, i in normal], scores, [ranks[x] for x in scores], kind == 2, [byte[b] for b in range(256)], hexes)
+
+
+class Cutter:
+    """Cuts texts into units."""
+
+    def __init__(self, pieces: list[str]) -> None:
+        chars = {c: k + 1 for k, c in enumerate(sorted({c for p in pieces for c in p}))}
+        self.codes, self.many = np.zeros(0x110000, np.int32), len(chars) + 1
+        self.codes[[ord(c) for c in chars]] = list(chars.values())
+        self.codes[32], self.codes[ord(MARK)] = chars.get(MARK, 0), 0
+        self.side_by_side = np.zeros(PAIRS, bool)
+        self.side_by_side[[(chars[a] * self.many + chars[b]) % PAIRS for a, b in {ab for p in pieces for ab in zip(p, p[1:], strict=False)}]] = True
+
+    def units(self, text: str) -> list[str]:
+        """The units of a text that is not empty."""
+        s, cuts = " " + text, [0]
+        for at in range(0, len(s), BLOCK):
+            codes = self.codes[np.frombuffer(s[at : at + BLOCK + 1].encode("utf-32-le"), np.uint32)]
+            a, b = codes[:-1], codes[1:]
+            cuts += (np.flatnonzero(~(self.side_by_side[(a * self.many + b) % PAIRS] & (a > 0) & (b > 0))) + (at + 1)).tolist()
+        return [s[i:j] for i, j in zip(cuts, [*cuts[1:], len(s)], strict=True)]
+
+
+def best_path(s: str, places: dict[str, int], scores: list[float], longest: int) -> list[tuple[int, int]]:
+    """(end, place) of the pieces on the path of greatest total score; of equal
+    paths to a position the one whose last piece is longest."""
+    unknown = len(scores) - 1
+    best, starts, taken = np.zeros(len(s) + 1), np.zeros(len(s) + 1, np.int64), np.zeros(len(s) + 1, np.int64)
+    for end in range(1, len(s) + 1):
+        top, at, piece = float("-inf"), end - 1, unknown
+        for start in range(max(0, end - longest), end):
+            k = places.get(s[start:end], unknown if start == end - 1 else None)
+            if k is not None and best[start] + scores[k] > top:
+                top, at, piece = best[start] + scores[k], start, k
+        best[end], starts[end], taken[end] = top, at, piece
+    out, end = [], len(s)
+    while end:
+        out.append((end, int(taken[end])))
+        end = int(starts[end])
+    return out[::-1]
+
+
+def merged(s: str, places: dict[str, int], ranks: list[int]) -> list[tuple[int, int]]:
+    """(end, place) of the pieces left by merging the neighbours that make the
+    piece of the first rank, the leftmost of several, until none do."""
+    n, unknown = len(s), len(places)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(i: int, to: int) -> None:
+        if (k := places.get(s[i:to])) is not None:
+            heapq.heappush(heap, (ranks[k], i, to))
+
+    for i in range(n - 1):
+        offer(i, i + 2)
+
+    while heap:
+        _, i, to = heapq.heappop(heap)
+        if (middle := end[i]) >= to or middle < 0 or end[middle] != to:
+            continue  # one of the two has been merged meanwhile
+        end[i], end[middle] = to, -1
+        if to < n:
+            before[to] = i
+            offer(i, end[to])
+        if before[i] >= 0:
+            offer(before[i], to)
+    out, i = [], 0
+    while i < n:
+        out.append((end[i], places.get(s[i : end[i]], unknown)))
+        i = end[i]
+    return out
+
+
+def walked(unit: str, places: dict[str, int], pieces: Pieces | dict) -> list[int]:
+    """The ids of one unit."""
+    p = pieces if isinstance(pieces, dict) else plain_parts(pieces)
+    s = unit.replace(" ", MARK) if unit != MARK else "\n"  # neither mark nor line feed has a piece
+    found = merged(s, places, p["ranks"]) if p["merges"] else best_path(s, places, p["scores"], p["longest"])
+    unknown = len(p["ids"])
+    return [i for end, k in found for i in ([p["ids"][k]] if k < unknown else [p["bytes_at"][b] for b in unit[end - 1].encode()])]
+
+
+def plain_parts(pieces: Pieces) -> dict:
+    """What ``walked`` needs, without the session."""
+    return {"merges": pieces.merges, "scores": pieces.scores, "ranks": pieces.ranks, "longest": pieces.longest, "ids": pieces.ids, "bytes_at": pieces.bytes_at}
+
+
+def _long_lexicon(units: DataFrame, pieces: Pieces) -> DataFrame:
+    parts, places = plain_parts(pieces), {p: k for k, p in enumerate(pieces.pieces)}
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for unit in batch["unit"]:
+                yield pd.DataFrame({"unit": [unit], "ids": [walked(unit, places, parts)]})
 
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), pos, unit of every text that is not empty."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.where(text != "").select("doc_id", F.xxhash64(text).alias("h"), F.posexplode(F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(UNIT), 0)).alias("pos", "unit"))
-    return rows
+    return units.mapInPandas(run, "unit string, ids array<int>")
+
+
+def _shift(x: Column, by: int) -> Column:
+    return F.shiftleft(x.cast("bigint"), by)
+
+
+def _bits(x: Column, right: int, bits: int) -> Column:
+    return F.shiftright(x, right).bitwiseAND((1 << bits) - 1).cast("int")
+
+
+#: An edge is one number: the rank of its piece, its start, its end and the place, in so many bits; a step of a path: its start and the place.
+PLACE, START = 24, 6
+
+
+def _start(edge: Column) -> Column:
+    return _bits(edge, START + PLACE, START)
+
+
+def _end(edge: Column) -> Column:
+    return _bits(edge, PLACE, START)
+
+
+def _merges(edges: Column, length: Column) -> Column:
+    """The steps that merging leaves.  ``edges`` are sorted, so the first that
+    joins two neighbours is the next merge; the boundaries of what has been
+    merged so far are the bits of one number."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+
+    def cut(e: Column) -> Column:
+        start, end = _start(e), _end(e)
+        return F.struct((bit(start) + bit(end)).alias("ends"), (bit(end) - bit(start + 1)).alias("within"), (_shift(start, PLACE) + _bits(e, 0, PLACE)).alias("step"))
+
+    def fold(all_edges: Column) -> Column:
+        stands = lambda bounds, e: bounds.bitwiseAND(e["ends"]) == e["ends"]
+
+        def over(wide: Column) -> Column:
+            def step(bounds: Column, _: Column) -> Column:
+                first = F.filter(wide, lambda e: stands(bounds, e) & (F.bit_count(bounds.bitwiseAND(e["within"])) == 1))
+                return bounds - F.coalesce(bounds.bitwiseAND(F.get(first, F.lit(0))["within"]), F.lit(0).cast("bigint"))
 
+            single = bit(length + 1) - 1
+            return F.when(F.size(wide) == 0, single).otherwise(F.aggregate(F.sequence(F.lit(1), length - 1), single, step))
 
-def _field(edge: Column, right: int, bits: int) -> Column:
-    return F.shiftright(edge, right).bitwiseAND((1 << bits) - 1).cast("int")
+        left = lambda bounds: F.sort_array(F.transform(F.filter(all_edges, lambda e: stands(bounds, e) & (bounds.bitwiseAND(e["within"]) == 0)), lambda e: e["step"]))
+        return let(let(F.filter(all_edges, lambda e: e["within"] != 0), over), left)
+
+    return let(F.transform(edges, cut), fold)
 
 
 def _best_path(edges: Column, scores: Column) -> Column:
-    """The edges of the best path, in order; ``edges`` are sorted by end and
-    start, with at least one for each end."""
-    end = lambda e: _field(e, START_BITS + PIECE_BITS, START_BITS)
-    start = lambda e: _field(e, PIECE_BITS, START_BITS)
+    """The steps of the path of greatest score.  Edges are taken in order of
+    their ends, the longest of an end first."""
+    by_end = F.sort_array(F.transform(edges, lambda e: _shift(_end(e), PLACE + START) + _shift(_start(e), PLACE) + _bits(e, 0, PLACE)))
+    end = lambda e: _bits(e, PLACE + START, START)
+    start = lambda e: _bits(e, PLACE, START)
 
     def step(best: Column, e: Column) -> Column:
-        score = F.get(best, start(e))["score"] + F.get(scores, _field(e, 0, PIECE_BITS))
+        score = F.get(best, start(e))["score"] + F.get(scores, _bits(e, 0, PLACE))
         new = F.array(F.struct(score.alias("score"), e.alias("edge")))
         better = score > F.element_at(best, -1)["score"]
         return F.when(F.size(best) <= end(e), F.concat(best, new)).when(better, F.concat(F.slice(best, F.lit(1), F.size(best) - 1), new)).otherwise(best)
@@ -100,70 +271,44 @@ def _best_path(edges: Column, scores: Column) -> Column:
 
         def one(a: Column, i: Column) -> Column:
             e = F.get(best, i)["edge"]
-            return F.when(a["at"] == i, F.struct(start(e).alias("at"), F.concat(F.array(e), a["out"]).alias("out"))).otherwise(a)
+            return F.when(a["at"] == i, F.struct(start(e).alias("at"), F.concat(F.array(e.bitwiseAND((1 << (PLACE + START)) - 1)), a["out"]).alias("out"))).otherwise(a)
 
         return F.aggregate(F.sequence(F.size(best) - 1, F.lit(1)), last, one)["out"]
 
-    return let(F.aggregate(edges, first, step), back)
-
-
-def walked(unit: str, pieces: dict[str, int], longest: int, scores: list[float], bytes_at: list[int]) -> list[int]:
-    """The ids of the best path through a unit that is not a piece mark; the
-    last of ``scores`` is that of a character without a piece."""
-    s, unknown = unit.replace(" ", MARK), len(scores) - 1
-    best, starts, taken = array("d", [0.0]), array("q", [0]), array("q", [0])
-    for end in range(1, len(s) + 1):
-        top, at, piece = float("-inf"), end - 1, unknown
-        for start in range(max(0, end - longest), end):
-            k = pieces.get(s[start:end], unknown if start == end - 1 else None)
-            if k is not None and best[start] + scores[k] > top:
-                top, at, piece = best[start] + scores[k], start, k
-        best.append(top)
-        starts.append(at)
-        taken.append(piece)
-    out, end = [], len(s)
-    while end:
-        out.append([bytes_at[b] for b in unit[end - 1].encode()] if taken[end] == unknown else [taken[end]])
-        end = starts[end]
-    return [i for ids in reversed(out) for i in ids]
-
-
-def long_lexicon(counted: DataFrame, pieces: Pieces) -> DataFrame:
-    """As ``lexicon``, for long units."""
-    own, longest, scores, bytes_at = pieces.ids, pieces.longest, [*pieces.scores, pieces.unknown], pieces.bytes_at
+    return let(F.aggregate(by_end, first, step), back)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for unit, n in zip(batch["unit"], batch["n"], strict=True):
-                yield pd.DataFrame({"unit": [unit], "n": [n], "ids": [walked(unit, own, longest, scores, bytes_at)]})
 
-    coded = counted.mapInPandas(run, "unit string, n long, ids array<int>")
-    return coded.withColumn("exact", decoded(F.col("ids"), pieces) == F.col("unit"))
+def _literal(values: list, kind: str) -> Column:
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
-def lexicon(counted: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit, n, ids, exact (whether decoding them gives the unit again) of the
-    distinct units of ``counted`` (unit, n)."""
+def _short_lexicon(units: DataFrame, pieces: Pieces) -> DataFrame:
+    length, unknown = F.length("unit"), len(pieces.pieces)
     marked = F.when(F.col("unit") != MARK, F.replace("unit", F.lit(" "), F.lit(MARK)))
-    length = F.length("unit")
-    starts = counted.withColumn("s", marked).select("unit", "n", "s", F.explode(F.sequence(F.lit(0), length - 1)).alias("start"))
-    width = F.least(F.lit(pieces.longest), length - F.col("start"))
-    subs = starts.select("unit", "n", "start", F.posexplode(F.transform(F.sequence(F.lit(1), width), lambda k: F.substring("s", F.col("start") + 1, k))).alias("k", "piece"))
-    unknown = len(pieces.hexes)
-    met = subs.join(small(pieces.table.select("piece", "id"), BROADCAST_PIECES), "piece", "left").where("id is not null or k = 0")
-    edge = F.shiftleft((F.col("start") + F.col("k") + 1).cast("bigint"), START_BITS + PIECE_BITS) + F.shiftleft(F.col("start").cast("bigint"), PIECE_BITS) + F.coalesce("id", F.lit(unknown))
+    starts = units.withColumn("s", marked).select("unit", "s", F.explode(F.sequence(F.lit(1), length)).alias("start")).withColumn("head", F.substring("s", F.col("start"), F.lit(3)))
+    # a piece of more than two characters has a head
+    width = F.least(F.coalesce("most", F.lit(2)), length + 1 - F.col("start"))
+    subs = starts.join(pieces.heads(), "head", "left").select("unit", "start", F.posexplode(F.transform(F.sequence(F.lit(1), width), lambda k: F.substring("s", F.col("start"), k))).alias("k", "piece"))
+    met = subs.join(pieces.table(), "piece", "left").where("place is not null or k = 0")
+    edge = _shift(F.coalesce("rank", F.lit(pieces.ranks[-1])), 2 * START + PLACE) + _shift(F.col("start") - 1, START + PLACE) + _shift(F.col("start") + F.col("k"), PLACE) + F.coalesce("place", F.lit(unknown))
     # the hash leads the key, so that sorting compares numbers
-    lattice = met.select(F.xxhash64("unit").alias("h"), "unit", "n", edge.alias("edge")).groupBy("h", "unit", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    scores = F.split(F.lit(",".join(map(repr, [*pieces.scores, pieces.unknown]))), ",").cast("array<double>")
-    at = F.array(*map(F.lit, pieces.bytes_at))
+    lattice = met.select(F.xxhash64("unit").alias("h"), "unit", edge.alias("edge")).groupBy("h", "unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    steps = _merges(F.col("edges"), length) if pieces.merges else _best_path(F.col("edges"), _literal(pieces.scores, "double"))
+    ids, at = _literal(pieces.ids, "int"), F.array(*map(F.lit, pieces.bytes_at))
 
-    def ids_of(e: Column) -> Column:
+    def ids_of(step: Column) -> Column:
         raw = lambda h: F.transform(F.sequence(F.lit(0), (F.length(h) / 2).cast("int") - 1), lambda i: F.get(at, F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
-        char = F.substring("unit", _field(e, PIECE_BITS, START_BITS) + 1, F.lit(1))
-        piece = _field(e, 0, PIECE_BITS)
-        return F.when(piece == unknown, let(F.hex(F.encode(char, "UTF-8")), raw)).otherwise(F.array(piece))
+        char, place = F.substring("unit", _bits(step, PLACE, START) + 1, F.lit(1)), _bits(step, 0, PLACE)
+        return F.when(place == unknown, let(F.hex(F.encode(char, "UTF-8")), raw)).otherwise(F.array(F.get(ids, place)))
+
+    return lattice.select("unit", F.flatten(F.transform(steps, ids_of)).alias("ids"))
 
-    coded = lattice.select("unit", "n", F.flatten(F.transform(_best_path(F.col("edges"), scores), ids_of)).alias("ids"))
+
+def lexicon(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """unit, ids, exact (whether decoding them gives the unit again) of the
+    distinct ``units`` (unit)."""
+    long = F.length("unit") > LONGEST
+    coded = _short_lexicon(units.where(~long), pieces).union(_long_lexicon(units.where(long), pieces))
     return coded.withColumn("exact", decoded(F.col("ids"), pieces) == F.col("unit"))
 
 
@@ -173,36 +318,137 @@ def decoded(ids: Column, pieces: Pieces) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")
 
 
-def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """doc_id, h, pos, ids, exact: a row for every unit of every text (doc_id,
-    text); ``exact`` tells whether decoding the ids gives the unit again.
+class Cache:
+    """The ids of frequent units, sent as columns; workers make a dictionary of it."""
+
+    def __init__(self, units: list[str], ids: np.ndarray, sizes: np.ndarray, pieces: list[str]) -> None:
+        self.units, self.ids, self.sizes = units, ids, sizes
+        self.pieces = pieces
+        self.made: tuple[Cutter, dict[str, tuple[int, ...]]] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": None}
+
+    def ready(self) -> tuple[Cutter, dict[str, tuple[int, ...]]]:
+        if not self.made:
+            flat, at = self.ids.tolist(), np.concatenate([[0], np.cumsum(self.sizes)]).tolist()
+            one: dict[int, int] = {}
+            flat = [one.setdefault(i, i) for i in flat]
+            self.made = Cutter(self.pieces), {u: tuple(flat[at[k] : at[k + 1]]) for k, u in enumerate(self.units)}
+        return self.made
+
+
+def counts(texts: DataFrame, pieces: Pieces) -> DataFrame:
+    """unit, n of the units of ``texts`` (text)."""
+    cutter = Cutter(pieces.pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
+        for batch in batches:
+            for text in batch.column("text"):
+                seen.update(cutter.units(text.as_py()))
+                if len(seen) > COUNTED:
+                    yield told()
+                    seen.clear()
+        yield told()
+
+    return texts.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def cache(docs: DataFrame, pieces: Pieces) -> Cache:
+    """The units most frequent in documents of about ``SAMPLE_BYTES``."""
+    texts = docs.where(F.col("text") != "")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = min(1.0, SAMPLE_BYTES / max(total, 1))
+    sample = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counted = materialise(counts(sample.select("text"), pieces).where("n > 1"), "units")
+    # the least count with which the cache keeps within its bounds; 10,000 rows at most
+    levels = counted.groupBy(F.least("n", F.lit(10_000)).alias("least")).agg(F.count("*").alias("units"), F.sum(F.octet_length("unit")).alias("bytes"))
+    least, units, size = 10_001, 0, 0
+    for r in sorted(levels.collect(), reverse=True):
+        units, size = units + r["units"], size + r["bytes"]
+        if units > CACHE_UNITS or size > CACHE_BYTES:
+            break
+        least = r["least"]
+    held = lexicon(counted.where(F.col("n") >= least).select("unit"), pieces).where("exact").select("unit", "ids").toArrow()
+    ids = held.column("ids").combine_chunks()
+    return Cache(held.column("unit").to_pylist(), ids.flatten().to_numpy().astype(np.int32), ids.value_lengths().to_numpy(), pieces.pieces)
+
+
+def _runs(docs: DataFrame, known: Cache) -> DataFrame:
+    """doc_id, h, pos, ids, unit: the rows of every text; a unit that is not in
+    the cache has a row of its own, without ids."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, look = sent.value.ready()
+        for batch in batches:
+            who, pos, ends, flat, others = [], [], [0], [], []
+
+            def told() -> pa.RecordBatch:
+                row = pa.array(who, pa.int64())
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                return pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("h").take(row), pa.array(pos, pa.int32()), ids, pa.array(others, pa.string())], names=["doc_id", "h", "pos", "ids", "unit"])  # noqa: B023
+
+            for k, text in enumerate(batch.column("text")):
+                text, first, begun = text.as_py(), len(who), len(flat)
+                for unit in cutter.units(text) if text else ():
+                    ids = look.get(unit)
+                    if ids is not None:
+                        flat += ids
+                        continue
+                    if len(flat) > begun:
+                        who.append(k)
+                        ends.append(len(flat))
+                        others.append(None)
+                        begun = len(flat)
+                    who.append(k)
+                    ends.append(begun)
+                    others.append(unit)
+                if len(flat) > begun or len(who) == first:
+                    who.append(k)
+                    ends.append(len(flat))
+                    others.append(None)
+                pos += range(len(who) - first)
+                if len(flat) > BATCH:
+                    yield told()
+                    who, pos, ends, flat, others = [], [], [0], [], []
+            yield told()
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "doc_id long, h long, pos int, ids array<int>, unit string")
 
-    Null and empty texts have no rows.  Repeated rows repeat theirs; texts
-    that share a doc_id, or have none, are told apart by ``h``.
+
+def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """doc_id, h, pos, ids, exact: the ids of every text (doc_id, text) in parts,
+    in the order of pos; ``exact`` tells whether decoding gives the part again.
+
+    Null and empty texts have one part without ids.  Repeated rows repeat
+    theirs; texts that share a doc_id, or have none, are told apart by ``h``, a
+    hash of the text.  Of equal choices the longest piece, or the leftmost
+    merge, is taken.  Texts of any length are encoded whole; an empty table
+    gives no rows.  Other columns are left out, whatever their names.
     """
-    all_units = units(docs)
-    is_long = F.length("unit") > 2 * LONGEST
-    count = lambda u: u.groupBy("unit").agg(F.count("*").alias("n"))
-    runs = units(docs.where(F.col("text").rlike(LONG))).where(is_long)
-    lex = materialise(lexicon(count(all_units.where(~is_long)), pieces).union(long_lexicon(count(runs), pieces)), "lexicon")
-    # The least count with which no more than HOT units are broadcast.
-    powers = {r[0]: r[1] for r in lex.groupBy(F.length(F.bin("n")).alias("bits")).count().collect()}  # 64 rows at most
-    held, bits = 0, 65
-    while bits > 1 and held + powers.get(bits - 1, 0) <= HOT:
-        bits -= 1
-        held += powers.get(bits, 0)
-    often = F.length(F.bin("n")) >= bits
-    hot = F.broadcast(lex.where(often).select("unit", "ids", "exact"))
-    met = all_units.join(hot, "unit", "left")
-    common = met.where("ids is not null").select("doc_id", "h", "pos", "ids", "exact")
-    rare = all_units.join(hot, "unit", "left_anti").join(lex.where(~often).select("unit", "ids", "exact"), "unit")
-    return common.union(rare.select("doc_id", "h", "pos", "ids", "exact"))
+    docs = docs.select("doc_id", "text")
+    coded = materialise(_runs(docs, cache(docs, pieces)), "coded")
+    others = coded.where("unit is not null")
+    lex = materialise(lexicon(others.select("unit").distinct(), pieces), "lexicon")
+    met = others.drop("ids").join(lex, "unit")
+    return coded.where("unit is null").select("doc_id", "h", "pos", "ids", F.lit(True).alias("exact")).union(met.select("doc_id", "h", "pos", "ids", "exact"))
+
+
+def gathered(encoded: DataFrame) -> DataFrame:
+    """doc_id, h, ids, exact: the whole sequence of every text, as often as the
+    text was encoded."""
+    parts = encoded.groupBy("doc_id", "h", "pos").agg(F.count("*").alias("n"), F.first("ids").alias("ids"), F.min("exact").alias("exact"))
+    whole = parts.groupBy("doc_id", "h").agg(F.min("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"), F.min("exact").alias("exact"))
+    ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
+    return whole.select("doc_id", "h", ids.alias("ids"), "exact", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).drop("col")
 
 
 def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
-    """doc_id, h, text of ``encoded`` (doc_id, h, pos, ids), once for each
-    document that has rows; the exact text that was encoded."""
-    rows = encoded.select("doc_id", "h", "pos", decoded(F.col("ids"), pieces).alias("unit")).dropDuplicates(["doc_id", "h", "pos"])
-    whole = rows.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("pos", "unit"))).alias("units"))
-    text = F.array_join(F.transform("units", lambda u: u["unit"]), "")
-    return whole.select("doc_id", "h", F.substring(text, F.lit(2), F.length(text)).alias("text"))
+    """doc_id, h, text of ``encoded``: the exact texts that were encoded, as
+    often as they were (null ones are empty)."""
+    text = decoded(F.col("ids"), pieces)
+    return gathered(encoded).select("doc_id", "h", F.substring(text, F.lit(2), F.length(text)).alias("text"))

@@ -8,7 +8,18 @@ from boxwright.llm import sentence_pieces as s
 from boxwright.llm.queries import PIECE_MODEL
 
 pytestmark = pytest.mark.skipif(not Path(PIECE_MODEL).exists(), reason="needs a piece model")
-TEXTS = [(1, " lead  two   spaces\n\n▁mark 漢字 😀 tab\tend "), (2, None), (3, ""), (4, "x" * 1000 + " 漢" * 300), (5, "a"), (5, "a"), (None, "Hello the world, hello.\n"), (6, "Être où, çà là " * 20)]
+SF = "/root/testdata/sf0.001"
+TEXTS = [
+    (1, " lead  two   spaces\n\n▁mark 漢字 😀 tab\tend "), (2, None), (3, ""), (4, "x" * 1000 + " 漢" * 300), (5, "a"), (5, "a"), (None, "Hello the world, hello.\n"),
+    (6, "Être où, çà là " * 20), (7, " " * 61 + "a" * 59 + " " + "b" * 60 + "information we have" + "=" * 200), (8, "<0x41></s><unk> ▁▁ a"),
+]
+
+
+@pytest.fixture(scope="module")
+def library():
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=PIECE_MODEL)
 
 
 @pytest.fixture(scope="module")
@@ -16,62 +27,108 @@ def pieces(spark):
     return s.load(spark, PIECE_MODEL)
 
 
-def plain(unit, table, p):
-    """Best path by trying every end in turn."""
-    best = [(0.0, [])]
-    byte = lambda c: [p.bytes_at[b] for b in c.encode()]
-    for end in range(1, len(unit) + 1):
-        found = []
-        for start in range(max(0, end - p.longest), end):
-            sub = unit[start:end]
-            key = None if sub == s.MARK else sub.replace(" ", s.MARK)
-            if key in table:
-                found.append((-(best[start][0] + table[key][1]), start, [table[key][0]]))
-            elif end - start == 1:
-                found.append((-(best[start][0] + p.unknown), start, byte(sub)))
-        score, start, ids = min(found)
-        best.append((-score, best[start][1] + ids))
-    return best[-1][1]
-
-
-def test_round_trip_and_best_paths(spark, pieces):
-    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+@pytest.fixture(scope="module")
+def unigram():
+    """The library with the same pieces as a unigram model."""
+    from sentencepiece import SentencePieceProcessor
+    from sentencepiece.sentencepiece_model_pb2 import ModelProto
+
+    m = ModelProto.FromString(Path(PIECE_MODEL).read_bytes())
+    m.trainer_spec.model_type = 1
+    r = random.Random(3)
+    for i, p in enumerate(m.pieces):
+        if p.type == 1:
+            p.score = -5 - 8 * (i / len(m.pieces)) ** 0.5 - r.random() / 8
+    return SentencePieceProcessor(model_proto=m.SerializeToString())
+
+
+def rows(df):
+    return sorted(map(repr, df.collect()))
+
+
+def literal_marks(text):
+    """The library takes a piece mark in a text for a space; here it stays what it is."""
+    return "▁" in text
+
+
+def held_against(docs, pieces, library):
+    """Ids are equal, or for best paths as good: the library chooses otherwise among equal ones."""
     coded = s.encode(docs, pieces).cache()
-    got = {r.doc_id: r.text for r in s.decode(coded, pieces).collect()}
-    assert got == {i: t for i, t in TEXTS if t}
+    want = {(r.doc_id, r.text or "") for r in docs.collect()}
+    got = [(r.doc_id, r.text) for r in s.decode(coded, pieces).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((r.doc_id, r.text or "")) for r in docs.collect())
     assert coded.where("not exact").count() == 0
-    table = {r.piece: (r.id, r.score) for r in pieces.table.collect()}
-    by = {(r.doc_id, r.pos): r.ids for r in coded.collect()}
-    units = {(r.doc_id, r.pos): r.unit for r in s.units(docs).collect()}
-    assert set(by) == set(units)
-    for k, unit in units.items():
-        assert len(unit) <= 2 * s.LONGEST and by[k] == plain(unit, table, pieces), unit
-    assert s.encode(docs.limit(0), pieces).count() == 0
+    ids = {(r.doc_id, r.h): list(r.ids) for r in s.gathered(coded).collect()}
+    texts = {(r.doc_id, r.h): r.text for r in s.decode(coded, pieces).collect()}
+    assert len(ids) == len(want)
+    score = dict(zip(pieces.ids, pieces.scores, strict=False))
+    for k, text in texts.items():
+        if not literal_marks(text):
+            other = library.encode(text)
+            total = lambda x: sum(score.get(i, pieces.scores[-1]) for i in x)
+            assert ids[k] == other or not pieces.merges and len(ids[k]) == len(other) and total(ids[k]) == pytest.approx(total(other)), text[:200]
+
 
+def test_ids_are_those_of_the_library(spark, pieces, library):
+    assert pieces.merges
+    held_against(spark.createDataFrame(TEXTS, "doc_id long, text string"), pieces, library)
 
-def test_rare_units_meet_the_lexicon_by_shuffle(spark, pieces, monkeypatch):
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the standard tables")
+def test_ids_of_the_standard_documents(spark, pieces, library):
+    held_against(spark.read.parquet(f"{SF}/documents.parquet"), pieces, library)
+
+
+def test_best_paths_of_a_unigram_model(spark, unigram, monkeypatch):
+    pieces = s.from_processor(spark, unigram)
+    assert not pieces.merges
+    docs = spark.createDataFrame([t for t in TEXTS if t[0] != 8], "doc_id long, text string")
+    held_against(docs, pieces, unigram)
+    want = rows(s.gathered(s.encode(docs, pieces)))
+    monkeypatch.setattr(s, "LONGEST", 4)  # more units are walked
+    assert rows(s.gathered(s.encode(docs, pieces))) == want
+
+
+def test_literal_marks_are_bytes(spark, pieces):
+    docs = spark.createDataFrame([(1, "▁a"), (2, " a")], "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in s.gathered(s.encode(docs, pieces)).collect()}
+    assert [pieces.hexes[i] for i in got[1][1:4]] == ["E2", "96", "81"] and got[1] != got[2]
+
+
+@pytest.mark.parametrize("names", [{"CACHE_UNITS": 0, "LONGEST": 4}, {"CACHE_UNITS": 3, "BROADCAST_PIECES": 0}, {"CACHE_BYTES": 10, "SAMPLE_BYTES": 200, "PAIRS": 97}, {"BLOCK": 7, "BATCH": 5, "COUNTED": 2}])
+def test_bounds_change_nothing(spark, pieces, monkeypatch, names):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
-    want = sorted(map(repr, s.encode(docs, pieces).collect()))
-    monkeypatch.setattr(s, "HOT", 3)
-    assert sorted(map(repr, s.encode(docs, pieces).collect())) == want
+    want = rows(s.gathered(s.encode(docs, pieces)))
+    for k, v in names.items():
+        monkeypatch.setattr(s, k, v)
+    assert rows(s.gathered(s.encode(docs, pieces))) == want
 
 
-def test_long_runs_are_one_unit(spark, pieces):
+def test_long_runs_are_one_unit(spark, pieces, library):
     r = random.Random(7)
-    base64 = ["".join(r.choice(string.ascii_letters + string.digits + "+/") for _ in range(1200)) for _ in range(12)]
-    texts = [*base64, "x" * 1000 + " 漢" * 300, "漢字かな交じり文😀" * 150, " " * 1300 + "end", "a " + "word" * 20_000, " " * 300 + "y" * 390 + "\n" + "z" * 401]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    coded = s.encode(docs, pieces).cache()
-    table = {r.piece: (r.id, r.score) for r in pieces.table.collect()}
-    by = {(r.doc_id, r.pos): r.ids for r in coded.collect()}
-    units = {(r.doc_id, r.pos): r.unit for r in s.units(docs).collect()}
-    assert set(by) == set(units) and coded.where("not exact").count() == 0
-    assert [units[i, 0] for i in range(12)] == [" " + t for t in base64]
-    score = {i: x for i, x in table.values()}
-    cut = lambda t: [i for k in ((0, 401), (401, 801), (801, 1201)) for i in plain(t[slice(*k)], table, pieces)]
-    total = lambda ids: sum(score.get(i, pieces.unknown) for i in ids)
-    assert any(total(by[i, 0]) > total(cut(" " + t)) for i, t in enumerate(base64))
-    for k, unit in units.items():
-        if len(unit) < 5000:
-            assert by[k] == plain(unit, table, pieces)
-    assert {r.doc_id: r.text for r in s.decode(coded, pieces).collect()} == dict(enumerate(texts))
+    runs = ["".join(r.choice(string.ascii_letters + string.digits + "+/") for _ in range(1200)) for _ in range(6)]
+    runs += ["".join(r.choice("aeinorst") for _ in range(3000)), "a " + "word" * 5_000, " " * 1300 + "end", "漢字かな交じり文😀" * 150, "=" * 5000]
+    assert max(map(len, s.Cutter(pieces.pieces).units(runs[7]))) > 10_000
+    held_against(spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string"), pieces, library)
+
+
+def test_repeats_empty_tables_and_clashing_columns(spark, pieces):
+    schema = "doc_id long, text string, h int, pos int, ids int, unit string, exact int, s string, start int, n int"
+    docs = spark.createDataFrame([(1, "two words", *[1] * 3, "u", 1, "s", 1, 1)] * 3 + [(None, None, *[1] * 3, "u", 1, "s", 1, 1)], schema)
+    coded = s.encode(docs, pieces)
+    assert coded.columns == ["doc_id", "h", "pos", "ids", "exact"]
+    assert sorted((r.doc_id or 0, r.text) for r in s.decode(coded, pieces).collect()) == [(0, "")] + [(1, "two words")] * 3
+    empty = s.encode(docs.limit(0), pieces)
+    assert empty.count() == 0 and s.decode(empty, pieces).count() == 0
+
+
+def test_a_model_without_bytes_is_refused(spark, library):
+    class Without:
+        def get_piece_size(self):
+            return 3
+
+        def __getattr__(self, name):
+            return lambda i=0: library.serialized_model_proto() if name == "serialized_model_proto" else False
+
+    with pytest.raises(ValueError):
+        s.from_processor(spark, Without())
