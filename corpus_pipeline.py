@@ -38,8 +38,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every text, a row for each unit."""
-    return sentence_pieces.encode(docs, sentence_pieces.load(spark, PIECE_MODEL))
+    """The pieces of every text, a row for each document as often as it was taken."""
+    return sentence_pieces.gathered(sentence_pieces.encode(docs, sentence_pieces.load(spark, PIECE_MODEL)))
 
 
 STAGES = [
@@ -50,7 +50,7 @@ STAGES = [
     ("sentence pieces", encoded),
 ]
 
-#: Balanced sampling and best paths over a lattice are not expressible in SQL; tests hold the stages against plain versions.
+#: Balanced sampling and merges over a lattice are not expressible in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
