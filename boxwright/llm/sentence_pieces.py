@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding as relations.
 
-A text, with a space put before it, is cut into units wherever no piece holds
-the two characters at a place side by side, so no piece crosses a cut.  Every
+A text, with a space put before it, is cut into units wherever no piece can
+reach across, judged by the two characters at a place and one more on either
+side, so no piece crosses a cut.  Every
 distinct unit is encoded once: its substrings of bounded length are exploded
 and met with the piece table by an equi-join, the edges found are grouped by
 unit, and a fold over them gives the pieces.  The fold follows the model.  For
@@ -40,9 +41,11 @@ MARK = "▁"
 LONGEST, PENALTY = 60, 10.0
 BROADCAST_PIECES = 1_000_000
 #: The cache holds the units that are most frequent in about so many bytes of text: at most so many, of so many bytes.
-SAMPLE_BYTES, CACHE_UNITS, CACHE_BYTES = 1 << 26, 1 << 18, 1 << 23
-#: Bits of the table of neighbours; where two pairs of characters share one, units are longer than they need be.
-PAIRS = 1 << 20
+SAMPLE_BYTES, CACHE_UNITS, CACHE_BYTES = 1 << 27, 1 << 18, 1 << 23
+#: Distinct units in a task that makes their lattice, which has about 40 rows for each.
+UNITS = 1 << 15
+#: Bits of the tables of neighbours; where pairs or triples of characters share one, units are longer than they need be.
+TABLE = 1 << 21
 #: Characters of a text that are cut at a time, distinct units that are counted at a time, and ids of a batch of rows.
 BLOCK, COUNTED, BATCH = 1 << 20, 1 << 17, 1 << 20
 
@@ -70,7 +73,7 @@ class Pieces:
         return F.broadcast(df) if len(rows) <= BROADCAST_PIECES else df
 
     def table(self) -> DataFrame:
-        return self._small(list(zip(self.pieces, range(len(self.pieces)), self.ranks, strict=False)), "piece string, place int, rank int")
+        return self._small(list(zip(self.pieces, self.ids, self.ranks, strict=False)), "piece string, id int, rank int")
 
     def heads(self) -> DataFrame:
         """Of all pieces that begin with the same three characters, the length of the longest."""
@@ -116,16 +119,33 @@ class Cutter:
         self.codes, self.many = np.zeros(0x110000, np.int32), len(chars) + 1
         self.codes[[ord(c) for c in chars]] = list(chars.values())
         self.codes[32], self.codes[ord(MARK)] = chars.get(MARK, 0), 0
-        self.side_by_side = np.zeros(PAIRS, bool)
-        self.side_by_side[[(chars[a] * self.many + chars[b]) % PAIRS for a, b in {ab for p in pieces for ab in zip(p, p[1:], strict=False)}]] = True
+        # pairs that pieces hold, pairs that are pieces, and triples that pieces hold
+        self.pairs, self.whole, self.triples = (np.zeros(TABLE, bool) for _ in range(3))
+        for p in pieces:
+            c = [chars[x] for x in p]
+            for i in range(len(c) - 1):
+                pair = c[i] * self.many + c[i + 1]
+                self.pairs[pair % TABLE] = True
+                self.whole[pair % TABLE] |= len(c) == 2
+                if i + 2 < len(c):
+                    self.triples[(pair * self.many + c[i + 2]) % TABLE] = True
 
     def units(self, text: str) -> list[str]:
         """The units of a text that is not empty."""
         s, cuts = " " + text, [0]
         for at in range(0, len(s), BLOCK):
-            codes = self.codes[np.frombuffer(s[at : at + BLOCK + 1].encode("utf-32-le"), np.uint32)]
-            a, b = codes[:-1], codes[1:]
-            cuts += (np.flatnonzero(~(self.side_by_side[(a * self.many + b) % PAIRS] & (a > 0) & (b > 0))) + (at + 1)).tolist()
+            # one character more on the left, two on the right; the code 0 stands for none
+            codes = np.zeros(min(BLOCK, len(s) - at) + 3, np.int64)
+            part = s[max(0, at - 1) : at + BLOCK + 2]
+            first = 1 if at == 0 else 0
+            own = self.codes[np.frombuffer(part.encode("utf-32-le"), np.uint32)]
+            codes[first : first + len(own)] = own[: len(codes) - first]
+            pairs = codes[:-1] * self.many + codes[1:]
+            triples = self.triples[(pairs[:-1] * self.many + codes[2:]) % TABLE]
+            here, a, b = pairs[1:-1] % TABLE, codes[1:-2], codes[2:-1]
+            joined = (a > 0) & (b > 0) & self.pairs[here] & (self.whole[here] | triples[:-1] | triples[1:])
+            n = min(BLOCK, len(s) - at - 1)
+            cuts += (np.flatnonzero(~joined[:n]) + (at + 1)).tolist()
         return [s[i:j] for i, j in zip(cuts, [*cuts[1:], len(s)], strict=True)]
 
 
@@ -212,16 +232,18 @@ def _bits(x: Column, right: int, bits: int) -> Column:
     return F.shiftright(x, right).bitwiseAND((1 << bits) - 1).cast("int")
 
 
-#: An edge is one number: the rank of its piece, its start, its end and the place, in so many bits; a step of a path: its start and the place.
-PLACE, START = 24, 6
+#: An edge is one number: the rank of its piece, its start, its end and the id, in so many bits; a step of a path: its start and the id.
+RANK, START, ID = 24, 6, 24
+#: Stands for the id of a character without a piece.
+NO_PIECE = (1 << ID) - 1
 
 
 def _start(edge: Column) -> Column:
-    return _bits(edge, START + PLACE, START)
+    return _bits(edge, START + ID, START)
 
 
 def _end(edge: Column) -> Column:
-    return _bits(edge, PLACE, START)
+    return _bits(edge, ID, START)
 
 
 def _merges(edges: Column, length: Column) -> Column:
@@ -232,7 +254,7 @@ def _merges(edges: Column, length: Column) -> Column:
 
     def cut(e: Column) -> Column:
         start, end = _start(e), _end(e)
-        return F.struct((bit(start) + bit(end)).alias("ends"), (bit(end) - bit(start + 1)).alias("within"), (_shift(start, PLACE) + _bits(e, 0, PLACE)).alias("step"))
+        return F.struct((bit(start) + bit(end)).alias("ends"), (bit(end) - bit(start + 1)).alias("within"), (_shift(start, ID) + _bits(e, 0, ID)).alias("step"))
 
     def fold(all_edges: Column) -> Column:
         stands = lambda bounds, e: bounds.bitwiseAND(e["ends"]) == e["ends"]
@@ -252,14 +274,14 @@ def _merges(edges: Column, length: Column) -> Column:
 
 
 def _best_path(edges: Column, scores: Column) -> Column:
-    """The steps of the path of greatest score.  Edges are taken in order of
-    their ends, the longest of an end first."""
-    by_end = F.sort_array(F.transform(edges, lambda e: _shift(_end(e), PLACE + START) + _shift(_start(e), PLACE) + _bits(e, 0, PLACE)))
-    end = lambda e: _bits(e, PLACE + START, START)
-    start = lambda e: _bits(e, PLACE, START)
+    """The steps of the path of greatest score (``scores``: by rank).  Edges are
+    taken in order of their ends, the longest of an end first."""
+    by_end = F.sort_array(F.transform(edges, lambda e: _shift(_end(e), START + RANK + ID) + _shift(_start(e), RANK + ID) + _shift(_bits(e, 2 * START + ID, RANK), ID) + _bits(e, 0, ID)))
+    end = lambda e: _bits(e, START + RANK + ID, START)
+    start = lambda e: _bits(e, RANK + ID, START)
 
     def step(best: Column, e: Column) -> Column:
-        score = F.get(best, start(e))["score"] + F.get(scores, _bits(e, 0, PLACE))
+        score = F.get(best, start(e))["score"] + F.get(scores, _bits(e, ID, RANK))
         new = F.array(F.struct(score.alias("score"), e.alias("edge")))
         better = score > F.element_at(best, -1)["score"]
         return F.when(F.size(best) <= end(e), F.concat(best, new)).when(better, F.concat(F.slice(best, F.lit(1), F.size(best) - 1), new)).otherwise(best)
@@ -271,51 +293,60 @@ def _best_path(edges: Column, scores: Column) -> Column:
 
         def one(a: Column, i: Column) -> Column:
             e = F.get(best, i)["edge"]
-            return F.when(a["at"] == i, F.struct(start(e).alias("at"), F.concat(F.array(e.bitwiseAND((1 << (PLACE + START)) - 1)), a["out"]).alias("out"))).otherwise(a)
+            step = _shift(start(e), ID) + _bits(e, 0, ID)
+            return F.when(a["at"] == i, F.struct(start(e).alias("at"), F.concat(F.array(step), a["out"]).alias("out"))).otherwise(a)
 
         return F.aggregate(F.sequence(F.size(best) - 1, F.lit(1)), last, one)["out"]
 
     return let(F.aggregate(by_end, first, step), back)
 
 
-def _literal(values: list, kind: str) -> Column:
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
-
-
 def _short_lexicon(units: DataFrame, pieces: Pieces) -> DataFrame:
-    length, unknown = F.length("unit"), len(pieces.pieces)
+    length = F.length("unit")
     marked = F.when(F.col("unit") != MARK, F.replace("unit", F.lit(" "), F.lit(MARK)))
     starts = units.withColumn("s", marked).select("unit", "s", F.explode(F.sequence(F.lit(1), length)).alias("start")).withColumn("head", F.substring("s", F.col("start"), F.lit(3)))
     # a piece of more than two characters has a head
     width = F.least(F.coalesce("most", F.lit(2)), length + 1 - F.col("start"))
     subs = starts.join(pieces.heads(), "head", "left").select("unit", "start", F.posexplode(F.transform(F.sequence(F.lit(1), width), lambda k: F.substring("s", F.col("start"), k))).alias("k", "piece"))
-    met = subs.join(pieces.table(), "piece", "left").where("place is not null or k = 0")
-    edge = _shift(F.coalesce("rank", F.lit(pieces.ranks[-1])), 2 * START + PLACE) + _shift(F.col("start") - 1, START + PLACE) + _shift(F.col("start") + F.col("k"), PLACE) + F.coalesce("place", F.lit(unknown))
+    met = subs.join(pieces.table(), "piece", "left").where("id is not null or k = 0")
+    edge = _shift(F.coalesce("rank", F.lit(pieces.ranks[-1])), 2 * START + ID) + _shift(F.col("start") - 1, START + ID) + _shift(F.col("start") + F.col("k"), ID) + F.coalesce("id", F.lit(NO_PIECE))
     # the hash leads the key, so that sorting compares numbers
     lattice = met.select(F.xxhash64("unit").alias("h"), "unit", edge.alias("edge")).groupBy("h", "unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    steps = _merges(F.col("edges"), length) if pieces.merges else _best_path(F.col("edges"), _literal(pieces.scores, "double"))
-    ids, at = _literal(pieces.ids, "int"), F.array(*map(F.lit, pieces.bytes_at))
+    if pieces.merges:
+        steps = _merges(F.col("edges"), length)
+    else:
+        scores = sorted(set(pieces.scores), reverse=True)
+        steps = _best_path(F.col("edges"), F.split(F.lit(",".join(map(repr, scores))), ",").cast("array<double>"))
+    at = F.array(*map(F.lit, pieces.bytes_at))
 
     def ids_of(step: Column) -> Column:
         raw = lambda h: F.transform(F.sequence(F.lit(0), (F.length(h) / 2).cast("int") - 1), lambda i: F.get(at, F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
-        char, place = F.substring("unit", _bits(step, PLACE, START) + 1, F.lit(1)), _bits(step, 0, PLACE)
-        return F.when(place == unknown, let(F.hex(F.encode(char, "UTF-8")), raw)).otherwise(F.array(F.get(ids, place)))
+        char, own = F.substring("unit", _bits(step, ID, START) + 1, F.lit(1)), _bits(step, 0, ID)
+        return F.when(own == NO_PIECE, let(F.hex(F.encode(char, "UTF-8")), raw)).otherwise(F.array(own))
 
     return lattice.select("unit", F.flatten(F.transform(steps, ids_of)).alias("ids"))
 
 
 def lexicon(units: DataFrame, pieces: Pieces) -> DataFrame:
     """unit, ids, exact (whether decoding them gives the unit again) of the
-    distinct ``units`` (unit)."""
+    distinct ``units`` (unit), which have been materialised."""
     long = F.length("unit") > LONGEST
-    coded = _short_lexicon(units.where(~long), pieces).union(_long_lexicon(units.where(long), pieces))
-    return coded.withColumn("exact", decoded(F.col("ids"), pieces) == F.col("unit"))
+    dealt = units.where(~long).repartition(units.count() // UNITS + 1, "unit")
+    coded = _short_lexicon(dealt, pieces).union(_long_lexicon(units.where(long), pieces))
+    return _with_text(coded, pieces, "unit string, ids array<int>, text string").select("unit", "ids", (F.col("text") == F.col("unit")).alias("exact"))
 
 
-def decoded(ids: Column, pieces: Pieces) -> Column:
-    """The text of a sequence of ids, in place: an array look-up per id."""
-    table = F.split(F.lit(",".join(pieces.hexes)), ",")
-    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")
+def _with_text(coded: DataFrame, pieces: Pieces, schema: str) -> DataFrame:
+    """``coded`` with the text that its ``ids`` stand for.  The table is sent
+    with the function, so that plans stay small."""
+    table = [bytes.fromhex(h) for h in pieces.hexes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [b"".join([table[i] for i in x.as_py()]).decode("utf-8", "replace") for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+
+    return coded.mapInArrow(run, schema)
 
 
 class Cache:
@@ -376,10 +407,15 @@ def cache(docs: DataFrame, pieces: Pieces) -> Cache:
     return Cache(held.column("unit").to_pylist(), ids.flatten().to_numpy().astype(np.int32), ids.value_lengths().to_numpy(), pieces.pieces)
 
 
-def _runs(docs: DataFrame, known: Cache) -> DataFrame:
-    """doc_id, h, pos, ids, unit: the rows of every text; a unit that is not in
-    the cache has a row of its own, without ids."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+def _packed(pieces: Pieces) -> type:
+    return np.uint16 if len(pieces.hexes) <= 1 << 16 else np.uint32
+
+
+def _runs(docs: DataFrame, known: Cache, kind: type) -> DataFrame:
+    """doc_id, h, pos, ids, unit: the rows of every text; ids are packed as
+    numbers of the given ``kind``; a unit that is not in the cache has a row of
+    its own, without ids."""
+    sent, size = docs.sparkSession.sparkContext.broadcast(known), np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, look = sent.value.ready()
@@ -388,7 +424,7 @@ def _runs(docs: DataFrame, known: Cache) -> DataFrame:
 
             def told() -> pa.RecordBatch:
                 row = pa.array(who, pa.int64())
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                ids = pa.Array.from_buffers(pa.binary(), len(who), [None, pa.py_buffer(np.array(ends, np.int32) * size), pa.py_buffer(np.array(flat, kind))])
                 return pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("h").take(row), pa.array(pos, pa.int32()), ids, pa.array(others, pa.string())], names=["doc_id", "h", "pos", "ids", "unit"])  # noqa: B023
 
             for k, text in enumerate(batch.column("text")):
@@ -417,7 +453,22 @@ def _runs(docs: DataFrame, known: Cache) -> DataFrame:
             yield told()
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "doc_id long, h long, pos int, ids array<int>, unit string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "doc_id long, h long, pos int, ids binary, unit string")
+
+
+def _unpacked(coded: DataFrame, kind: type) -> DataFrame:
+    """doc_id, h, pos, ids of the rows that hold a run."""
+    size = np.dtype(kind).itemsize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = batch.column("ids")
+            ends = np.frombuffer(packed.buffers()[1], np.int32, len(packed) + 1, 4 * packed.offset)
+            data = np.frombuffer(packed.buffers()[2] or b"", kind, (ends[-1] - ends[0]) // size, ends[0]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array((ends - ends[0]) // size, pa.int32()), pa.array(data, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h", "pos")), ids], names=["doc_id", "h", "pos", "ids"])
+
+    return coded.where("unit is null").select("doc_id", "h", "pos", "ids").mapInArrow(run, "doc_id long, h long, pos int, ids array<int>")
 
 
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -431,11 +482,12 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     gives no rows.  Other columns are left out, whatever their names.
     """
     docs = docs.select("doc_id", "text")
-    coded = materialise(_runs(docs, cache(docs, pieces)), "coded")
+    kind = _packed(pieces)
+    coded = materialise(_runs(docs, cache(docs, pieces), kind), "coded", "zstd")
     others = coded.where("unit is not null")
-    lex = materialise(lexicon(others.select("unit").distinct(), pieces), "lexicon")
+    lex = materialise(lexicon(materialise(others.select("unit").distinct(), "units"), pieces), "lexicon")
     met = others.drop("ids").join(lex, "unit")
-    return coded.where("unit is null").select("doc_id", "h", "pos", "ids", F.lit(True).alias("exact")).union(met.select("doc_id", "h", "pos", "ids", "exact"))
+    return _unpacked(coded, kind).withColumn("exact", F.lit(True)).union(met.select("doc_id", "h", "pos", "ids", "exact"))
 
 
 def gathered(encoded: DataFrame) -> DataFrame:
@@ -450,5 +502,5 @@ def gathered(encoded: DataFrame) -> DataFrame:
 def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     """doc_id, h, text of ``encoded``: the exact texts that were encoded, as
     often as they were (null ones are empty)."""
-    text = decoded(F.col("ids"), pieces)
-    return gathered(encoded).select("doc_id", "h", F.substring(text, F.lit(2), F.length(text)).alias("text"))
+    whole = _with_text(gathered(encoded).select("doc_id", "h", "ids"), pieces, "doc_id long, h long, ids array<int>, text string")
+    return whole.select("doc_id", "h", F.substring("text", F.lit(2), F.length("text")).alias("text"))

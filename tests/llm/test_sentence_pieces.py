@@ -95,7 +95,7 @@ def test_literal_marks_are_bytes(spark, pieces):
     assert [pieces.hexes[i] for i in got[1][1:4]] == ["E2", "96", "81"] and got[1] != got[2]
 
 
-@pytest.mark.parametrize("names", [{"CACHE_UNITS": 0, "LONGEST": 4}, {"CACHE_UNITS": 3, "BROADCAST_PIECES": 0}, {"CACHE_BYTES": 10, "SAMPLE_BYTES": 200, "PAIRS": 97}, {"BLOCK": 7, "BATCH": 5, "COUNTED": 2}])
+@pytest.mark.parametrize("names", [{"CACHE_UNITS": 0, "LONGEST": 4}, {"CACHE_UNITS": 3, "BROADCAST_PIECES": 0}, {"CACHE_BYTES": 10, "SAMPLE_BYTES": 200, "TABLE": 97}, {"BLOCK": 7, "BATCH": 5, "COUNTED": 2}])
 def test_bounds_change_nothing(spark, pieces, monkeypatch, names):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
     want = rows(s.gathered(s.encode(docs, pieces)))
