@@ -21,10 +21,10 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxwright.llm.shared import materialise, small, words
+from boxwright.llm.shared import materialise, packed, small, words
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 BLOCK, BROADCAST_SOURCES = 16_384, 100_000
@@ -113,11 +113,18 @@ def _dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.withColumn("block", F.pmod(F.xxhash64("id", "no_id", "h", "copy"), F.col("blocks")))
 
 
+def _keys(docs: DataFrame) -> list[Column]:
+    """id, no_id, source and h of a packed row; h tells apart rows that differ
+    in any column (maps, which have no hash, excepted)."""
+    doc_id, hashed = F.col("row.doc_id"), [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    h = F.xxhash64(*(F.col(f"row.`{c}`") for c in hashed), *(F.col(f"row.`{c}`").isNull() for c in hashed))
+    return [F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id"), doc_id.isNull().alias("no_id"), F.col("row.source").cast("string").alias("source"), h.alias("h")]
+
+
 def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (id, no_id, source, h, copy, size, p, whole) of all documents, which
     are taken ``p + whole`` times, and the targets."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("h"), F.size(words(text)).cast("long").alias("size"))
+    rows = packed(docs).select(*_keys(docs), F.size(words(F.col("row.text"))).cast("long").alias("size"))
     # Rows that are equal get a number each.
     rows = materialise(rows.groupBy("id", "no_id", "source", "h", "size").agg(F.count("*").cast("int").alias("n")), "sizes")
     total = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
@@ -153,14 +160,17 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` as mixed: each row as often as it is taken."""
+    """``docs`` as mixed: each row, with its own columns, as often as it is
+    taken.  Null and empty texts are taken or left like others; repeated rows
+    are drawn one by one; an empty table stays empty."""
     done, plan = mix(docs)
     side = small(plan.withColumnRenamed("source", "_source"), BROADCAST_SOURCES)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     times = done.join(side, F.col("source").eqNullSafe(F.col("_source"))).select("id", "no_id", "source", "h", (F.floor(rate) + F.col("p").cast("long")).alias("n"))
-    times = materialise(times.groupBy("id", "no_id", "source", "h").agg(F.sum("n").alias("_n"), F.count("*").alias("_rows")), "times")
-    side = times.select(F.col("id").alias("_id"), F.col("no_id").alias("_no_id"), F.col("source").alias("_source"), F.col("h").alias("_h"), "_n", "_rows").where("_n > 0")
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(0)) == F.col("_id")) & (docs["doc_id"].isNull() == F.col("_no_id")) & docs["source"].cast("string").eqNullSafe(F.col("_source"))
-    met = docs.join(side, same & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_h")))
-    once = met.where("_rows = 1").union(met.where("_rows > 1").dropDuplicates(["_id", "_no_id", "_source", "_h"]))
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).select(*docs.columns)
+    times = materialise(times.groupBy("id", "no_id", "source", "h").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "times").where("n > 0")
+    keys = ["id", "no_id", "source", "h"]
+    side = times.select(*(F.col(c).alias(f"_{c}") for c in keys), "n", "rows")
+    rows = packed(docs).select("row", *_keys(docs))
+    met = rows.join(side, (F.col("id") == F.col("_id")) & (F.col("no_id") == F.col("_no_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("h") == F.col("_h")))
+    once = met.where("rows = 1").union(met.where("rows > 1").dropDuplicates(keys))
+    return once.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).select("row.*")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxwright.llm.shared import components, materialise, small
+from boxwright.llm.shared import components, materialise, packed, small, spread_join
 
 SHINGLE, PERCENT = 5, 85
 REGISTERS = 96
@@ -223,7 +223,7 @@ def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
 def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full ``sets`` are similar enough."""
     of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
-    rows = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    rows = spread_join(pairs.join(of("b"), "b"), of("a"), "a", "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return rows.where(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * percent).select("a", "b").distinct()
 
 
@@ -269,8 +269,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Null and empty texts have an empty set and are linked with nothing.  Rows
     without doc_id are linked with nothing, have no component and are kept.
-    Rows with one doc_id count as one document.
+    Rows with one doc_id count as one document.  An empty table gives no rows;
+    other columns are left out, whatever their names.
     """
+    docs = docs.select("doc_id", "text")
     sk = materialise(sketch(docs), "sketches")
     named = sk.where("n > 0 and doc_id is not null")
     docs = _without_repeats(docs, named)
@@ -285,7 +287,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     # the second round passes over buckets of two, so no estimate may drop their only pair
     stars = members.where("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg((F.min("size") == 2).alias("alone"))
-    stars = materialise(_plausible(stars.join(of("a"), "a").join(of("b"), "b"), percent), "stars")
+    stars = materialise(_plausible(spread_join(stars.join(of("b"), "b"), of("a"), "a", "b"), percent), "stars")
     sets = materialise(_sets(docs, materialise(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")), "sets")
     found = materialise(components(materialise(_confirmed(sets, stars, percent), "links")), "components")
 
@@ -306,10 +308,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one
-    with the smallest doc_id (and one row of it)."""
+    with the smallest doc_id (and one row of it).  Documents without words or
+    without doc_id stay; other columns keep their values, whatever their names."""
     seen = materialise(near_duplicates(docs, percent), "near")
     gone = small(materialise(seen.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone"), BROADCAST_IDS)
     twice = small(materialise(seen.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1"), "twice"), BROADCAST_IDS)
-    stay = docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
-    one = stay.join(twice, stay["doc_id"] == F.col("_id"), "left_anti")
-    return one.union(stay.join(twice, stay["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    stay = packed(docs).join(gone, F.col("row.doc_id") == F.col("_id"), "left_anti")
+    one = stay.join(twice, F.col("row.doc_id") == F.col("_id"), "left_anti")
+    several = stay.join(twice, F.col("row.doc_id") == F.col("_id"), "left_semi").withColumn("doc_id", F.col("row.doc_id"))
+    return one.union(several.dropDuplicates(["doc_id"]).select("row")).select("row.*")

@@ -119,15 +119,20 @@ def learn(docs: DataFrame, labels: DataFrame) -> Ranker | None:
     documents whose labels contradict each other or are null teach nothing."""
     known = labels.where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("y"), F.max("quality").alias("z")).where("y = z")
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(LABELLED).select("_id", F.col("y").cast("int").alias("y"))
-    rows = _featured(docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")), "y int").toPandas()
-    return fit(np.stack(rows["x"].to_numpy()), rows["y"].to_numpy() == 1) if len(rows) else None
+    held = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    rows = _featured(held.select(F.col("_id").cast("long").alias("id"), "y", F.xxhash64("text").alias("h"), "text"), "id long, y int, h long")
+    one = rows.groupBy("id").agg(F.min(F.struct("h", "y", "x")).alias("r")).select("id", "r.y", "r.x")  # of several texts, that of the smallest hash
+    found = one.toPandas().sort_values("id")  # LABELLED rows at most, in an order that does not depend on the input's
+    return fit(np.stack(found["x"].to_numpy()), found["y"].to_numpy() == 1) if len(found) else None
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text).
 
     Null texts are scored as empty ones.  Rows without doc_id are not held
-    out.  Where no pair can be learnt from, every score is 0.5.
+    out.  Where no pair can be learnt from, every score is 0.5.  A score equal
+    to the cut counts as good.  Repeated rows are scored alike, long texts
+    whole; an empty table gives no rows; other columns are left out.
     """
     model = learn(docs, labels)
 

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.shared import SPACE, let, materialise, small, words
+from boxwright.llm.shared import SPACE, let, materialise, packed, small, words
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Bins of a sketch; those of larger values are each wider than the one before by a share of 1 / TOP.
@@ -167,4 +167,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return judge(docs).where("_kept").select(*(docs[c] for c in docs.columns))
+    rows = packed(docs).select("row", *(F.col(f"row.{c}").alias(c) for c in ("text", "lang", "source")))
+    return judge(rows).where("_kept").select("row.*")

@@ -18,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.shared import let, materialise, small
+from boxwright.llm.shared import let, materialise, packed, small
 
 SCOPE = 240
+#: Linked spans up to this number are sent to all executors, more are joined by shuffle.
+BROADCAST_SPANS = 500_000
 #: In the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 
@@ -126,6 +128,7 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
     Null or empty texts have no spans.  Rows with one doc_id and one text get
     one and the same result; rows without doc_id are judged like others.
+    An empty table gives no rows; other columns are left out.
     """
     d = materialise(digests(docs), "secrets")
     linked = link_weak(d).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "linked")
@@ -141,11 +144,13 @@ def mask_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with ``mark`` in place of every span (overlapping ones become
     one) and n_chars, where there is such a column, counted anew.
 
-    Null texts stay null; texts without spans stay as they are.
+    Null texts stay null; texts without spans stay as they are.  Repeated rows
+    stay and are masked alike, rows without doc_id like others; an empty table
+    stays empty.  Other columns keep their values, whatever their names.
     """
     d = materialise(digests(docs).where(F.size("weak") > 0), "secrets")
-    linked = small(materialise(link_weak(d), "linked"), 100_000).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("linked").alias("_linked"))
-    text = F.col("text")
+    linked = small(materialise(link_weak(d), "linked"), BROADCAST_SPANS, F.size("linked"))
+    text = F.col("row.text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -153,10 +158,11 @@ def mask_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), upto.alias("out"))
 
     end = lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text)))
-    spans = F.sort_array(F.concat(_all(text, STRONG), F.coalesce(F.col("_linked"), F.array().cast(SPAN))))
+    spans = F.sort_array(F.concat(_all(text, STRONG), F.coalesce(F.col("linked"), F.array().cast(SPAN))))
     masked = let(spans, lambda s: F.when(F.size(s) > 0, F.aggregate(s, start, step, end)).otherwise(text))
-    out = docs.withColumn("_h", F.xxhash64(F.coalesce(text, F.lit("")))).join(linked.withColumnRenamed("_h", "_lh"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_lh")), "left")
-    out = out.withColumn("text", masked)
+    met = packed(docs).join(linked, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("h")), "left")
+    out = met.select("row", masked.alias("masked"))
+    new = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("masked").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))

@@ -1,0 +1,116 @@
+"""Columns with the names of helpers, repeated rows, hot keys and shared folders."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from boxwright.llm import ann_search, mixing, near_dup, pii_surrogates, quality_model, quality_rules, secret_scan, shared, url_filter
+from boxwright.llm.queries import PAGE_RULES
+
+CLASHES = "_h _id _lh _linked linked masked _n _rows n rows _m _kept _row _copy id h d no_id size n_email _names row `a.b`".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in CLASHES)
+WORDS = " ".join(f"w{i}" for i in range(40))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [
+        (1, WORDS + " password: hunter2hunter2 mail a.b@c.org", "en", "s"), (2, WORDS + " other words", "fr", "s"), (3, WORDS.replace("w", "v"), "en", None),
+        (4, "login: someone key " + "aB3" * 20, "en", "s"), (5, None, None, None), (None, "", "en", "s"), (2, WORDS + " other words", "en", "s"),
+    ]
+    return spark.createDataFrame([(*r, len(r[1] or ""), *(f"{r[0]}-{r[2]}-{c}" for c in CLASHES)) for r in rows], SCHEMA)
+
+
+def extras(df):
+    return sorted(map(repr, df.select("doc_id", "lang", *(c if c[0] == "`" else f"`{c}`" for c in CLASHES)).collect()))
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    masked = secret_scan.mask_secrets(docs)
+    assert masked.columns == docs.columns and masked.schema["n_chars"] == docs.schema["n_chars"] and extras(masked) == extras(docs)
+    by = {r.doc_id: r for r in masked.collect()}
+    assert "hunter2" not in by[1].text and "aB3" not in by[4].text and by[1].n_chars == len(by[1].text) and by[5].text is None
+    good = quality_rules.keep_good(docs)
+    assert good.columns == docs.columns and set(extras(good)) < set(extras(docs))
+    single = near_dup.keep_one(docs)
+    assert single.columns == docs.columns and set(extras(single)) < set(extras(docs)) and sorted(r.doc_id or 0 for r in single.collect()) == [0, 1, 3, 4, 5]
+
+
+def test_mixed_rows_keep_their_own_columns(spark, docs):
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and set(extras(out)) <= set(extras(docs))
+    rows = [(i % 3, "a few words here", ("en", "fr", None)[i % 3], "ab"[i % 2]) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = sum(r.taken for r in mixing.mix_report(df).collect())
+    out = mixing.mixed(df).collect()
+    assert 4 * len(out) == taken and {(r.doc_id, r.lang) for r in out} <= {(r[0], r[2]) for r in rows}
+    assert len({r.lang for r in out}) > 1
+
+
+def test_surrogates_keep_columns_of_any_name(spark, docs):
+    out = pii_surrogates.replace_private(docs, "k")
+    assert [c for c in out.columns if not c.startswith("n_") or c == "n_chars"] == [c for c in docs.columns if c != "n_email"]
+    assert {r.doc_id: r.n_email for r in out.collect()}[1] == 1 and out.count() == docs.count()
+    rest = [c for c in CLASHES if c != "n_email"]
+    values = lambda df: sorted(map(repr, df.select("doc_id", *(c if c[0] == "`" else f"`{c}`" for c in rest)).collect()))
+    assert values(out) == values(docs)
+
+
+def test_reports_ignore_other_columns(spark, docs):
+    named = docs.withColumn("y", F.lit("z")).withColumn("x", F.lit("z")).withColumn("quality", F.lit("q"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    assert quality_model.classify(named, labels).count() == docs.count()
+    assert near_dup.near_duplicates(named).count() == docs.count()
+    assert secret_scan.secret_report(named).count() == docs.count()
+    assert mixing.mix_report(named).count() == docs.count()
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"), *(c for c in docs.columns[5:-2]), F.lit("k").alias("key"), F.lit("v").alias("via"))
+    assert {r.verdict for r in url_filter.judge(pages, spark.createDataFrame(PAGE_RULES, url_filter.RULES_SCHEMA)).collect()} == {"allow"}
+    vectors = spark.createDataFrame([(i, [float(i + 1), 1.0], "a", "b", 1) for i in range(30)], "vec_id long, embedding array<double>, v string, list string, n int")
+    assert ann_search.search(vectors, 10, 2).count() == 6
+
+
+def test_hot_keys_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(shared, "FANOUT", 50)
+    rows = spark.createDataFrame([(1, i) for i in range(1000)] + [(k, -k) for k in range(2, 40)], "a long, b long")
+    table = spark.createDataFrame([(k, k * 10) for k in range(0, 35)], "a long, m long")
+    want = sorted(map(tuple, rows.join(table, "a").collect()))
+    with_conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = shared.spread_join(rows, table, "a", "b").select("a", "b", "m")
+        sizes = [r[1] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_conf)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted(map(tuple, met.collect())) == want and max(sizes) < 700
+    hub = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(i, i + 1000) for i in range(1, 400, 7)], "a long, b long")
+    assert {r.component for r in shared.components(hub).collect()} == {0}
+
+
+def test_one_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(shared, "FANOUT", 20)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:i % 197] + [f"x{i}"] + base[i % 197 + 1:])) for i in range(150)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
+def test_small_tables_are_bounded_by_what_their_rows_hold(spark):
+    df = spark.createDataFrame([([1] * 100,)] * 5, "x array<int>")
+    hinted = lambda d: "hint" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(shared.small(df, 10)) and not hinted(shared.small(df, 4)) and not hinted(shared.small(df, 10, F.size("x")))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "yarn"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session())
