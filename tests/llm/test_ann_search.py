@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from boxwright.llm import ann_search as a
 
@@ -43,3 +44,11 @@ def test_odd_vectors(spark):
     assert set(got) == {0, 200}
     assert [i for _, i in got[0]] == [200, 7, 1] and got[0][0][0] == 0.0
     assert found(spark, []) == {}
+
+
+def test_several_vectors_under_a_queried_id(spark):
+    rows = [(0, [5.0, 5.0]), (0, [1.0, 1.0]), (1, [1.0, 2.0]), (2, [5.0, 6.0]), (3, [9.0, 9.0]), (3, [1.0, 1.5])]
+    want = [(0, 1, 3, 0.5), (0, 2, 1, 1.0), (0, 3, 2, 41**0.5)]
+    for some in (rows, rows[::-1]):
+        got = a.search(spark.createDataFrame(some, "vec_id long, embedding array<double>"), 100, 3).collect()
+        assert [tuple(r) for r in sorted(got, key=lambda r: r["rank"])] == [(*w[:3], pytest.approx(w[3])) for w in want]
