@@ -83,20 +83,23 @@ op1_secret_scan = _secrets()
 def _urls() -> str:
     host = lambda u: f"translate(regexp_extract(coalesce({u}, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     path = lambda u: f"regexp_extract(coalesce({u}, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
-    key = lambda u: f"CASE WHEN {host(u)} <> '' THEN {host(u)} || CASE WHEN {path(u)} = '' THEN '/' ELSE {path(u)} END || regexp_extract(coalesce({u}, ''), '^(?s:.*?)://[^/?#]*[^?#]*(\\?[^#]*)', 1) END"
+    plain = lambda p: f"""CASE WHEN contains({p}, '/.') THEN list_reduce(list_prepend('', string_split({p}, '/')[2:]),
+        lambda a, s: CASE WHEN s = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN s = '.' THEN a ELSE a || '/' || s END) || CASE WHEN regexp_matches({p}, '/\\.\\.?$') THEN '/' ELSE '' END ELSE {p} END"""
+    key = lambda u: f"CASE WHEN {host(u)} <> '' THEN {host(u)} || CASE WHEN {path(u)} = '' THEN '/' ELSE {plain(path(u))} END || regexp_extract(coalesce({u}, ''), '^(?s:.*?)://[^/?#]*[^?#]*(\\?[^#]*)', 1) END"
     tags = r"<(?:[Ll][Ii][Nn][Kk]|[Mm][Ee][Tt][Aa])\s[^>]*>"
     q = "[\"'']?"
-    href = f"""CASE WHEN regexp_matches(tag, '[Rr][Ee][Ll]\\s*=\\s*{q}[Cc][Aa][Nn][Oo][Nn][Ii][Cc][Aa][Ll]\\b') THEN regexp_extract(tag, '[Hh][Rr][Ee][Ff]\\s*=\\s*{q}([^"''\\s>]+)', 1)
-        WHEN regexp_matches(tag, '[Hh][Tt][Tt][Pp]-[Ee][Qq][Uu][Ii][Vv]\\s*=\\s*{q}[Rr][Ee][Ff][Rr][Ee][Ss][Hh]\\b') THEN regexp_extract(tag, '[Uu][Rr][Ll]\\s*=\\s*{q}([^"''\\s>]+)', 1) END"""
+    href = f"""CASE WHEN regexp_matches(tag, '[\\s"''][Rr][Ee][Ll]\\s*=\\s*{q}[Cc][Aa][Nn][Oo][Nn][Ii][Cc][Aa][Ll]\\b') THEN regexp_extract(tag, '[\\s"''][Hh][Rr][Ee][Ff]\\s*=\\s*{q}([^"''\\s>]+)', 1)
+        WHEN regexp_matches(tag, '[\\s"''][Hh][Tt][Tt][Pp]-[Ee][Qq][Uu][Ii][Vv]\\s*=\\s*{q}[Rr][Ee][Ff][Rr][Ee][Ss][Hh]\\b') THEN regexp_extract(tag, '[Uu][Rr][Ll]\\s*=\\s*{q}([^"''\\s>]+)', 1) END"""
     folder = f"regexp_replace({path('url')}, '[^/]*$', '')"
     full = f"""CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN 'http:' || href WHEN starts_with(href, '/') THEN 'http://' || {host('url')} || href
+        WHEN starts_with(href, '#') THEN url WHEN starts_with(href, '?') THEN 'http://' || {host('url')} || {path('url')} || href
         ELSE 'http://' || {host('url')} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || href END"""
     rules = "(VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/'))"
     best = "SELECT {0}, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(verdict, length(r.host || r.path)) AS verdict FROM {1} x JOIN rules r ON (x.host = r.host OR ends_with(x.host, '.' || r.host)) AND starts_with(x.path, r.path) GROUP BY {0}"
     return f"""
     WITH RECURSIVE rules(verdict, host, path) AS (SELECT * FROM {rules}),
     p AS (SELECT row_number() OVER () AS rid, page_id, {host('url')} AS host, {path('url')} AS path, {key('url')} AS k FROM pages),
-    t AS (SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '{tags}')) AS tag FROM pages),
+    t AS (SELECT url, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)<!--.*?(?:-->|\\z)', ' ', 'g'), '{tags}')) AS tag FROM pages),
     h AS (SELECT url, replace({href}, '&amp;', '&') AS href FROM t),
     e AS (SELECT {key('url')} AS a, {key('full_url')} AS b FROM (SELECT url, {full} AS full_url FROM h WHERE href <> '')),
     two AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),

@@ -18,10 +18,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES_SCHEMA = "verdict string, host string, path string"
 #: More rules than this are joined by shuffle.
 BROADCAST_RULES = 100_000
+#: What a comment holds is no markup; the name of an attribute has white space or a quote before it.
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 TAGS = r"<(?:[Ll][Ii][Nn][Kk]|[Mm][Ee][Tt][Aa])\s[^>]*>"
-CANONICAL = r"""[Rr][Ee][Ll]\s*=\s*["']?[Cc][Aa][Nn][Oo][Nn][Ii][Cc][Aa][Ll]\b"""
-HREF = r"""[Hh][Rr][Ee][Ff]\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""[Hh][Tt][Tt][Pp]-[Ee][Qq][Uu][Ii][Vv]\s*=\s*["']?[Rr][Ee][Ff][Rr][Ee][Ss][Hh]\b"""
+CANONICAL = r"""[\s"'][Rr][Ee][Ll]\s*=\s*["']?[Cc][Aa][Nn][Oo][Nn][Ii][Cc][Aa][Ll]\b"""
+HREF = r"""[\s"'][Hh][Rr][Ee][Ff]\s*=\s*["']?([^"'\s>]+)"""
+REFRESH = r"""[\s"'][Hh][Tt][Tt][Pp]-[Ee][Qq][Uu][Ii][Vv]\s*=\s*["']?[Rr][Ee][Ff][Rr][Ee][Ss][Hh]\b"""
 TARGET = r"""[Uu][Rr][Ll]\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -34,11 +36,19 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://[^/?#]*([^?#]*)", 1)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its . and .. segments."""
+    step = lambda a, s: F.when(s == "..", F.regexp_replace(a, "/[^/]*$", "")).when(s == ".", a).otherwise(F.concat(a, F.lit("/"), s))
+    parts = F.split(path, "/")
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.lit(""), step)
+    return F.when(path.contains("/."), F.concat(kept, F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(path)
+
+
 def key_of(url: Column) -> Column:
-    """What makes two urls the same page: host, path (/ if empty) and query;
-    null without a host."""
+    """What makes two urls the same page: host, path (/ if empty, . and ..
+    followed) and query; null without a host."""
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://[^/?#]*[^?#]*(\?[^#]*)", 1)
-    path = path_of(url)
+    path = _without_dots(path_of(url))
     return F.when(host_of(url) != "", F.concat(host_of(url), F.when(path == "", F.lit("/")).otherwise(path), query))
 
 
@@ -50,13 +60,15 @@ def _resolved(href: Column, url: Column) -> Column:
         F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), href)
         .when(href.startswith("//"), F.concat(F.lit("http:"), href))
         .when(href.startswith("/"), F.concat(site, href))
+        .when(href.startswith("#"), url)
+        .when(href.startswith("?"), F.concat(site, path_of(url), href))
         .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), href))
     )
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """a, b: the keys of pages and of what their canonical links and refreshes name."""
-    tags = pages.select("url", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TAGS), 0)).alias("tag"))
+    tags = pages.select("url", F.explode(F.regexp_extract_all(F.regexp_replace(F.coalesce("html", F.lit("")), COMMENT, " "), F.lit(TAGS), 0)).alias("tag"))
     href = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)).when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", TARGET, 1))
     found = tags.select("url", href.alias("href")).where("href <> ''")
     return found.select(key_of(F.col("url")).alias("a"), key_of(_resolved(F.col("href"), F.col("url"))).alias("b")).where("a <> b")
@@ -79,7 +91,10 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     url, html).
 
     A url that is null or has no :// has empty host and path, no rule and no
-    aliases, and is allowed.  Repeated rows stay.
+    aliases, and is allowed; a null html has no links.  Of equally long rules
+    that fit, the one whose text comes last counts, then block.  Repeated rows
+    stay; an empty table gives no rows, and without rules all is allowed.
+    Other columns are left out.
     """
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), key_of(F.col("url")).alias("key"))
     alias = materialise(components(materialise(link_edges(pages), "links"), "aliases"), "alias")

@@ -42,3 +42,23 @@ def test_empty(spark):
     assert u.judge(df, spark.createDataFrame(PAGE_RULES, u.RULES_SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, "http://x.org/es/", "", "odd")], df.schema)
     assert u.judge(df, spark.createDataFrame([], u.RULES_SCHEMA)).first().verdict == "allow"
+
+
+def test_what_links_are_and_where_they_lead(spark):
+    rows = [
+        (1, "http://a.io/x/y", f"<!-- {link('http://q.org/es/1')} -->"), (2, "http://b.io/x", '<link rel="canonical" data-href="http://q.org/es/1">'),
+        (3, "http://c.io/d/e", link("?z=2")), (4, "http://c.io/d/e?z=2", link("http://q.org/es/1")), (5, "http://c.io/d/", ""),
+        (6, "http://d.io/d/e/f", link("../g")), (7, "http://d.io/d/g", link("http://q.org/es/1")), (8, "http://e.io/a/b", link("/x/./y/../z/.")), (9, "http://e.io/x/z/", link("http://q.org/es/1")),
+        (10, "http://f.io/a", link("#top")), (11, "http://g.io/../../a", link("http://q.org/es/1")), (12, "http://g.io/a", ""), (13, "http://h.io/a", "<!-- open " + link("http://q.org/es/1")),
+        (14, None, link("http://q.org/es/1")), (15, "http://i.io/a", "<p>" * 100_000 + link("http://q.org/es/1")), (16, "http://j.io/", '<link data-rel="canonical" href="http://q.org/es/1">'),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id for r in u.judge(df, spark.createDataFrame(PAGE_RULES, u.RULES_SCHEMA)).collect() if r.verdict == "block"}
+    assert got == {3, 4, 6, 7, 8, 9, 11, 12, 15}
+    import duckdb
+
+    from boxwright.llm import oracles
+
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert {r[0] for r in con.sql(oracles.op8_url_filter).fetchall() if r[4] == "block"} == got
