@@ -3,8 +3,9 @@
 Detected entities are reduced to a normal form (digits of a number, lower case
 of an address, one token of a name).  A keyed hash of the normal form gives the
 surrogate, so all mentions of an entity get the same one, in the format in
-which each is written: lengths, separators, case, country and issuer digits,
-the check digit of cards, and for names script and gender are kept.  A name is
+which each is written: lengths, separators, case, country codes and issuer
+digits, the check digits of cards and IBANs, and for names script and gender
+are kept; addresses of one domain get one domain.  A name is
 found behind a title; its tokens are then found without one in the same text,
 and a title that tells no gender takes it from other mentions of the given
 name.  Surrogates
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.shared import let, materialise, small
+from boxwright.llm.shared import let, materialise, packed, small
 
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "name")
 #: From this attempt on, addresses may get longer and the parts of an IP address any length.
@@ -42,6 +43,9 @@ GIVEN = {
 }
 SYLLABLES = {"latin": "ba ben da del fa gor ha hol ka kel la len ma mon na nor pa pel ra rin sa sol ta ten va vor wa win za zen", "cyrillic": "ба бе ва ве га да де ка ко ла ле ма мо на но па по ра ро са со та то ша"}
 
+# Country codes of telephone numbers of one and two digits; all others have three.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
+
 _EDGE = "(?![A-Za-z0-9])"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 PATTERN = "|".join((
@@ -89,14 +93,22 @@ def _bare(token: Column) -> Column:
 
 def _pieces(kind: Column, m: Column) -> Column:
     """(kind, text, norm) of the parts of a mention that are replaced one by
-    one; those of kind 'keep' stay.  Only names have more than one part."""
+    one; those of kind 'keep' stay.  A local part of an address has the whole
+    address as its norm, and an international number its plus."""
     part = lambda k, t, n: F.struct(k.alias("kind"), t.alias("text"), n.alias("norm"))
     title = F.regexp_extract(m, rf"^({MALE}|{FEMALE}|{EITHER})\.?\x20", 0)
     gender = F.when(m.rlike(f"^(?:{FEMALE})\\b"), "f").when(m.rlike(f"^(?:{MALE})\\b"), "m").otherwise("x")
     tokens = F.split(m.substr(F.length(title) + 1, F.length(m)), " ")
     named = F.transform(tokens, lambda t, i: part(F.when(i == F.size(tokens) - 1, "surname").otherwise(F.concat(F.lit("given_"), gender)), F.concat(F.when(i > 0, " ").otherwise(""), t), _bare(t)))
-    norm = F.when(kind == "email", F.lower(m)).when(kind == "ip", m).otherwise(F.regexp_replace(m, "[^A-Za-z0-9]", ""))
-    return F.when(kind == "name", F.concat(F.array(part(F.lit("keep"), title, F.lit(""))), named)).otherwise(F.array(part(kind, m, norm)))
+    norm = F.when(kind == "ip", m).otherwise(F.concat(F.when((kind == "phone") & m.startswith("+"), "+").otherwise(""), F.regexp_replace(m, "[^A-Za-z0-9]", "")))
+    local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    address = F.array(part(kind, local, F.lower(m)), part(F.lit("keep"), F.lit("@"), F.lit("")), part(F.lit("domain"), domain, F.lower(domain)))
+    return F.when(kind == "name", F.concat(F.array(part(F.lit("keep"), title, F.lit(""))), named)).when(kind == "email", address).otherwise(F.array(part(kind, m, norm)))
+
+
+def _mod97(x: Column) -> Column:
+    """The remainder of a number by 97, letters being 10 to 35."""
+    return F.aggregate(_chars(x), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
 
 
 def _drawn(key: str, kind: Column, norm: Column, attempt: int) -> Column:
@@ -107,8 +119,8 @@ def _drawn(key: str, kind: Column, norm: Column, attempt: int) -> Column:
     def of(hexes: Column) -> Column:
         value = lambda i: F.conv(F.substring(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
         stays = (
-            F.when(kind == "email", F.length(norm) - F.length(F.substring_index(norm, ".", -1))).otherwise(F.length(norm)),  # to the end
-            F.when(kind == "iban", 2).when((kind == "card") | ((kind == "phone") & ((F.length(norm) > 10) | norm.startswith("0"))), 1).otherwise(0),  # from the start
+            F.when(kind == "email", F.length(F.substring_index(norm, "@", 1))).when(kind == "domain", F.length(norm) - F.length(F.substring_index(norm, ".", -1))).otherwise(F.length(norm)),  # to the end
+            F.when(kind == "iban", 2).when((kind == "phone") & norm.startswith("+"), F.length(F.regexp_extract(norm, COUNTRY, 0))).when((kind == "card") | ((kind == "phone") & norm.startswith("0")), 1).otherwise(0),  # from the start
         )
 
         def char(c: Column, i: Column) -> Column:
@@ -117,7 +129,7 @@ def _drawn(key: str, kind: Column, norm: Column, attempt: int) -> Column:
 
         plain = F.array_join(F.transform(_chars(norm), char), "")
         if attempt >= WIDEN:
-            plain = F.when(kind == "email", F.concat(F.substring(hexes, 1, 6), plain)).otherwise(plain)
+            plain = F.when(kind.isin("email", "domain"), F.concat(F.substring(hexes, 1, 6), plain)).otherwise(plain)
 
         def octet(o: Column, i: Column) -> Column:
             if attempt >= WIDEN:
@@ -130,6 +142,13 @@ def _drawn(key: str, kind: Column, norm: Column, attempt: int) -> Column:
             wrong = ((right.cast("int") + 1 + value(F.lit(0)) % 9) % 10).cast("string")
             return F.concat(body, F.when(F.call_function("luhn_check", norm), right).otherwise(wrong))
 
+        def numbered(p: Column) -> Column:
+            """With check digits that are right if the entity's are."""
+            rest = F.substring(p, F.lit(5), F.length(p))
+            right = 98 - _mod97(F.concat(rest, F.substring(p, 1, 2), F.lit("00")))
+            good = _mod97(F.concat(F.substring(norm, F.lit(5), F.length(norm)), F.substring(norm, 1, 4))) == 1
+            return F.concat(F.substring(p, 1, 2), F.lpad(F.when(good, right).otherwise(right % 97 + 1).cast("string"), 2, "0"), rest)
+
         script = F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
         pick = lambda names, i: F.element_at(F.split(F.lit(names), " "), value(F.lit(i)) % len(names.split()) + 1)
         given = reduce(lambda a, sg: F.when((script == sg[0]) & (kind == f"given_{sg[1]}"), pick(GIVEN[sg], 0)).otherwise(a), GIVEN, F.lit(""))
@@ -137,7 +156,7 @@ def _drawn(key: str, kind: Column, norm: Column, attempt: int) -> Column:
         if attempt:  # more given names than the list has: longer ones
             given = F.concat(given, F.when(script == "cyrillic", F.concat(*(pick(SYLLABLES["cyrillic"], 8 + i) for i in range(attempt)))).otherwise(F.concat(*(pick(SYLLABLES["latin"], 8 + i) for i in range(attempt)))))
         return (
-            F.when(kind == "ip", F.array_join(F.transform(F.split(norm, r"\."), octet), ".")).when(kind == "card", let(plain, checked))
+            F.when(kind == "ip", F.array_join(F.transform(F.split(norm, r"\."), octet), ".")).when(kind == "card", let(plain, checked)).when(kind == "iban", let(plain, numbered))
             .when(kind.startswith("given"), F.lower(given)).when(kind == "surname", surname).otherwise(plain)
         )
 
@@ -166,13 +185,15 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 def _written(kind: Column, text: Column, new: Column) -> Column:
     """``new`` in the format of the mention ``text``."""
     upper = lambda c: (F.upper(c) == c) & (F.lower(c) != c)
-    number = F.array_join(F.transform(_chars(text), lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substring(new, F.length(F.regexp_replace(F.substring(text, F.lit(1), i + 1), "[^A-Za-z0-9]", "")), F.lit(1))).otherwise(c)), "")
-    shift = F.length(new) - F.length(text)
-    address = F.array_join(F.transform(_chars(new), lambda c, i: F.when(upper(F.substring(text, F.greatest(i + 1 - shift, F.lit(1)), F.lit(1))), F.upper(c)).otherwise(c)), "")
+    digits = F.replace(new, F.lit("+"), F.lit(""))
+    number = F.array_join(F.transform(_chars(text), lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substring(digits, F.length(F.regexp_replace(F.substring(text, F.lit(1), i + 1), "[^A-Za-z0-9]", "")), F.lit(1))).otherwise(c)), "")
+    part = F.substring_index(new, "@", 1)
+    shift = F.length(part) - F.length(text)
+    address = F.array_join(F.transform(_chars(part), lambda c, i: F.when(upper(F.substring(text, F.greatest(i + 1 - shift, F.lit(1)), F.lit(1))), F.upper(c)).otherwise(c)), "")
     blank = F.when(text.startswith(" "), " ").otherwise("")
     bare = F.regexp_replace(F.ltrim(text), POSSESSIVE, "")
     name = F.concat(blank, F.when((F.length(bare) > 1) & upper(bare), F.upper(new)).otherwise(F.initcap(new)), F.regexp_extract(text, POSSESSIVE, 0))
-    return F.when(kind == "keep", text).when(kind == "email", address).when(kind == "ip", new).when(kind.isin("phone", "card", "ssn", "iban"), number).otherwise(name)
+    return F.when(kind == "keep", text).when(kind.isin("email", "domain"), address).when(kind == "ip", new).when(kind.isin("phone", "card", "ssn", "iban"), number).otherwise(name)
 
 
 def _with_gender(parts: DataFrame) -> DataFrame:
@@ -197,13 +218,15 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
     given name and a surname in a text counts as a surname there; one that the
     text also has as a word in small letters is replaced only behind a title.
     Null texts stay null, texts without entities stay as they are; both count
-    0.  Rows with one doc_id and one text, and rows without doc_id, are treated
+    0.  Columns of ``docs`` that have the name of a count are replaced by it, all
+    others keep their values, whatever their names; an empty table stays empty.  Rows with one doc_id and one text, and rows without doc_id, are treated
     like others.  Whoever has ``key`` can recompute the surrogate of a guess,
     so it is to be kept secret.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    held = docs.where(_has_private(text))
-    found = held.select(F.struct("doc_id", F.xxhash64(text).alias("h")).alias("d"), F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), 0)).alias("pos", "m"))
+    rows = packed(docs)
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    held = rows.where(_has_private(text))
+    found = held.select(F.struct("row.doc_id", F.xxhash64(text).alias("h")).alias("d"), F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), 0)).alias("pos", "m"))
     found = materialise(found.distinct(), "mentions").withColumn("kind", _kind(F.col("m")))
     parts = found.select("d", "pos", F.col("kind").alias("whole"), F.posexplode(_pieces(F.col("kind"), F.col("m"))).alias("sub", "p")).select("d", "pos", "whole", "sub", "p.*")
     parts = materialise(_with_gender(parts), "parts")
@@ -215,7 +238,7 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
     tokens = written.where((F.col("kind") == "surname") | F.col("kind").startswith("given")).groupBy("d", "norm").agg(F.max(F.struct("kind", "new"))["new"].alias("new"))
     by_doc = by_doc.join(tokens.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("norm", "new"))).alias("_names")), "d", "left")
     by_doc = by_doc.select(F.col("d.doc_id").alias("_id"), F.col("d.h").alias("_h"), "_outs", "_names", *(f"n_{k}" for k in KINDS))
-    met = held.join(by_doc, held["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")))
+    met = held.join(by_doc, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")))
     gaps = F.split(text, PATTERN)
     words = lambda x: F.regexp_extract_all(x, F.lit(WORD), 0)
     names = let(F.array_distinct(words(text)), lambda all_words: F.map_filter("_names", lambda k, _: ~F.array_contains(all_words, k)))
@@ -233,8 +256,9 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
 
     met = met.withColumn("_more", F.when(F.col("_names").isNotNull(), let(names, further)).otherwise(F.struct(gaps.alias("gaps"), F.lit(0).cast("bigint").alias("n"))))
     woven = F.array_join(F.flatten(F.transform(F.arrays_zip(F.col("_more.gaps").alias("gap"), F.col("_outs").alias("out")), lambda z: F.array(z["gap"], F.coalesce(z["out"], F.lit(""))))), "")
-    own = [c for c in docs.columns if c != "text"]
+    names = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
+    own = lambda new: [new.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in names]
     counted = {k: F.col(f"n_{k}") for k in KINDS} | {"name": F.col("n_name") + F.col("_more.n")}
-    done = met.select(*(held[c] for c in own), woven.alias("text"), *(counted[k].alias(f"n_{k}") for k in KINDS))
-    clean = docs.where(~_has_private(text)).select(*own, "text", *(F.lit(0).cast("bigint").alias(f"n_{k}") for k in KINDS))
-    return clean.union(done).select(*docs.columns, *(f"n_{k}" for k in KINDS))
+    done = met.select(*own(woven), *(counted[k].alias(f"n_{k}") for k in KINDS))
+    clean = rows.where(~_has_private(text)).select(*own(F.col("row.text")), *(F.lit(0).cast("bigint").alias(f"n_{k}") for k in KINDS))
+    return clean.union(done)

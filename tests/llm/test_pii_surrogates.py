@@ -88,3 +88,24 @@ def test_phone_formats(spark):
             assert got[i].n_phone == 1 and got[i].text != text and shape(got[i].text) == shape(text), text
         else:
             assert got[i].text == text
+
+
+def mod97(iban):
+    x = re.sub(r"\s", "", iban)
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def test_country_codes_check_digits_and_domains(spark):
+    phones = ["+49 30 1234567", "+351 21 123 4567", "+1 499 555 6503", "+47 12 34 56 78", "+7 495 123 45 67"]
+    rows = [(i, f"call {x} now", "") for i, x in enumerate(phones)]
+    rows += [(10, "IBAN DE89 3704 0044 0532 0130 00 or GB29 NWBK 6016 1331 9268 19 or DE88 3704 0044 0532 0130 00", "")]
+    rows += [(20 + i, f"to {x}@Mail.shop.example and {x}@other.example", "") for i, x in enumerate(["ann", "bob", "eve", "a", "b", "c"])]
+    got = {r.doc_id: r.text for r in run(spark, rows)}
+    for i, x in enumerate(phones):
+        assert got[i] != rows[i][1] and got[i].startswith("call " + x.split()[0] + " "), x
+    old, new = (re.findall(r"[A-Z]{2}\d\d(?: [A-Z0-9]{2,4})+", t) for t in (rows[5][1], got[10]))
+    assert [x[:2] for x in new] == ["DE", "GB", "DE"] and [mod97(x) == 1 for x in new] == [mod97(x) == 1 for x in old] == [True, True, False]
+    mails = [re.findall(r"(\S+)@(\S+)", got[20 + i]) for i in range(6)]
+    assert len({m[0][1] for m in mails}) == len({m[1][1] for m in mails}) == 1 and mails[0][0][1] != mails[0][1][1]
+    assert re.fullmatch(r"[A-Z][a-z]{3}\.[a-z]{4}\.example", mails[0][0][1]) and "mail.shop" not in mails[0][0][1].lower()
+    assert len({m[0][0] for m in mails}) == 6
