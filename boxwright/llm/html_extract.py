@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -69,6 +70,8 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     article element with text."""
     out: list[tuple[str, int, bool]] = []
     open_tags: list[tuple[str, bool]] = []
+    opened: Counter[str] = Counter()  # open elements by tag, and furniture among them
+    furniture: Counter[str] = Counter()
     dull = links = articles = headings = 0
     parts: list[str] = []
     plain = 0
@@ -85,6 +88,8 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
 
     def leave(tag: str, is_dull: bool) -> None:
         nonlocal dull, links, articles, headings
+        opened[tag] -= 1
+        furniture[tag] -= is_dull
         dull -= is_dull
         links -= tag == "a"
         articles -= tag in ("article", "main")
@@ -94,7 +99,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     for m in TOKEN.finditer(page):
         if m.start() > at:
             raw = page[at : m.start()]
-            title = headings and articles and dull == 1 and any(t == "header" for t, d in open_tags if d)
+            title = headings and articles and dull == 1 and furniture["header"]
             if dull and not title:
                 was_dull = was_dull or not raw.isspace()
             else:
@@ -112,18 +117,20 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         elif tag in ("br", "td", "th"):
             parts.append(" ")
         if m["close"]:
-            if any(t == tag for t, _ in open_tags):
+            if opened[tag]:
                 while True:
                     t, d = open_tags.pop()
                     leave(t, d)
                     if t == tag:
                         break
         elif tag not in VOID and not m["attrs"].endswith("/"):
-            if tag in BLOCKS and open_tags and any(t == "p" for t, _ in open_tags) and not any(d for t, d in open_tags if t != "p"):
-                while any(t == "p" for t, _ in open_tags):  # a block ends an open paragraph and what is open in it
+            if tag in BLOCKS and opened["p"] and dull == furniture["p"]:
+                while opened["p"]:  # a block ends an open paragraph and what is open in it
                     leave(*open_tags.pop())
             is_dull = _furniture(tag, m["attrs"])
             open_tags.append((tag, is_dull))
+            opened[tag] += 1
+            furniture[tag] += is_dull
             dull += is_dull
             links += tag == "a"
             articles += tag in ("article", "main")
@@ -172,7 +179,9 @@ def _main_text(pages: pd.Series) -> pd.Series:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``.
 
-    Null and empty pages, and those without a surge, give an empty text.
-    Repeated rows stay; other columns are left out.
+    Null and empty pages, and those without a surge or an article, give an
+    empty text.  Long pages are read whole, in time linear in their length.
+    Repeated rows stay; other columns are left out; an empty table gives no
+    rows.
     """
     return pages.select("page_id", "url", _main_text(F.coalesce("html", F.lit(""))).alias("text")).withColumn("n_chars", F.length("text").cast("long"))

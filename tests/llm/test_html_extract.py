@@ -41,6 +41,29 @@ def test_distribution_decides_beside_an_article_element():
     assert h.main_text(f"<body>{article}<div>{LONG}</div></body>").split("\n") == ["Head", LONG, "Short.", LONG]
 
 
+def test_without_the_distribution_the_text_is_another(monkeypatch):
+    links = "<p><a href=x>One</a></p>" * 3
+    page = f"<body><p>Before</p>{links}<div><h2>Head</h2><p>{LONG}</p><p>Short.</p></div>{links}<p>After</p></body>"
+    assert h.main_text(page).split("\n") == ["Head", LONG, "Short."]
+    with_it = h.main_text(page)
+    monkeypatch.setattr(h, "SURGE", 10**9)
+    assert h.main_text(page) == ""
+    monkeypatch.setattr(h, "SURGE", 1)
+    assert h.main_text(page) != with_it
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        h.main_text("<div>" * n + LONG + "</div>" * n)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(64_000) < 30 * max(took(8_000), 0.01)
+
+
 def test_frame(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y"), (None, "v", "", "z")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
