@@ -493,8 +493,8 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
 def gathered(encoded: DataFrame) -> DataFrame:
     """doc_id, h, ids, exact: the whole sequence of every text, as often as the
     text was encoded."""
-    parts = encoded.groupBy("doc_id", "h", "pos").agg(F.count("*").alias("n"), F.first("ids").alias("ids"), F.min("exact").alias("exact"))
-    whole = parts.groupBy("doc_id", "h").agg(F.min("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"), F.min("exact").alias("exact"))
+    # a text that was encoded several times has its parts once in the set
+    whole = encoded.groupBy("doc_id", "h").agg(F.sum((F.col("pos") == 0).cast("bigint")).alias("n"), F.sort_array(F.collect_set(F.struct("pos", "ids"))).alias("parts"), F.min("exact").alias("exact"))
     ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
     return whole.select("doc_id", "h", ids.alias("ids"), "exact", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).drop("col")
 
