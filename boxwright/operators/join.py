@@ -124,7 +124,8 @@ def grouped(pairs: DataFrame) -> DataFrame:
 
 
 def semi_join(a: DataFrame, b: DataFrame, anti: bool = False, strategy: str = "auto") -> DataFrame:
-    """Rows of ``a`` that meet (``anti``: do not meet) a box of ``b``."""
+    """Rows of ``a`` that meet (``anti``: do not meet) a box of ``b``.  Ids of
+    ``a`` must be unique: rows that share one count as one."""
     met = join_pairs(a, b, strategy).select(F.col("id_a").alias("id")).distinct()
     return a.join(met, "id", "left_anti" if anti else "left_semi")
 

@@ -35,7 +35,8 @@ def range_lists(data: DataFrame, windows: DataFrame, strategy: str = "auto") ->
 
 
 def windows_with_hits(data: DataFrame, windows: DataFrame, anti: bool = False, strategy: str = "auto") -> DataFrame:
-    """The windows with (``anti``: without) a hit."""
+    """The windows with (``anti``: without) a hit.  A qid must be unique: windows
+    that share one count as one."""
     met = range_pairs(data, windows, strategy).select("qid").distinct()
     return windows.join(met, "qid", "left_anti" if anti else "left_semi")
 

@@ -11,18 +11,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxwright import cli
 from boxwright.functions import geometry as g
 from boxwright.functions.sql import register_sql
 from boxwright.operators import aggregates, join, knn, range_query
 from boxwright.plans import layout
+from boxwright.sources import text
+from boxwright.sources.sinks import scratch_dir
 
 BOX = "id, x AS min_x, y AS min_y, x + w AS max_x, y + h AS max_y"
 FIXTURES = {
     "parcels": ("part", f"SELECT {BOX} FROM (SELECT p_partkey AS id, CAST((p_partkey * 7919) % 1009 AS DOUBLE) AS x, CAST((p_partkey * 104729) % 1013 AS DOUBLE) AS y, CAST(p_size % 10 AS DOUBLE) AS w, CAST(p_partkey % 7 AS DOUBLE) AS h FROM part) t"),
     "zones": ("orders", f"SELECT {BOX} FROM (SELECT o_orderkey AS id, CAST((o_orderkey * 6007) % 1009 AS DOUBLE) AS x, CAST((o_orderkey * 3571) % 1013 AS DOUBLE) AS y, CAST(o_orderkey % 5 AS DOUBLE) AS w, CAST(o_custkey % 4 AS DOUBLE) AS h FROM orders) t"),
     "windows": ("supplier", f"SELECT {BOX.replace('id,', 'id AS qid,')} FROM (SELECT s_suppkey AS id, CAST((s_suppkey * 389) % 1109 AS DOUBLE) AS x, CAST((s_suppkey * 577) % 1109 AS DOUBLE) AS y, CAST((s_suppkey * 17) % 60 AS DOUBLE) AS w, CAST((s_suppkey * 29) % 40 AS DOUBLE) AS h FROM supplier) t"),
-    "probes": ("customer", "SELECT c_custkey AS qid, CAST((c_custkey * 911) % 1109 AS DOUBLE) AS x, CAST((c_custkey * 613) % 1109 AS DOUBLE) AS y FROM customer WHERE c_custkey % 10 = 0"),
+    "probes": ("customer", "SELECT c_custkey AS qid, CAST((c_custkey * 911) % 1109 AS DOUBLE) AS x, CAST((c_custkey * 613) % 1109 AS DOUBLE) AS y FROM customer"),
     "stops": ("events", "SELECT event_id AS id, value AS min_x, CAST(user_id AS DOUBLE) AS min_y, value AS max_x, CAST(user_id AS DOUBLE) AS max_y FROM events"),
+    "regions": ("region", "SELECT r_regionkey AS id, CAST(r_regionkey * 100 AS DOUBLE) AS min_x, CAST((r_regionkey * 37) % 101 AS DOUBLE) AS min_y, CAST(r_regionkey * 100 + 10 AS DOUBLE) AS max_x, CAST((r_regionkey * 37) % 101 + 5 AS DOUBLE) AS max_y FROM region"),
+    "nations": ("nation", "SELECT n_nationkey AS qid, CAST((n_nationkey * 31) % 500 AS DOUBLE) AS x, CAST((n_nationkey * 17) % 110 AS DOUBLE) AS y FROM nation"),
     "vec2d": ("embeddings", "SELECT vec_id AS id, element_at(embedding, 1) AS x, element_at(embedding, 2) AS y FROM embeddings"),
 }
 DUCK = FIXTURES | {"vec2d": ("embeddings", "SELECT vec_id AS id, embedding[1] AS x, embedding[2] AS y FROM embeddings")}
@@ -111,9 +116,9 @@ def knn_k1(parcels, probes):
     return knn.knn(parcels, probes, 1)
 
 
-@query(NEAREST.format(d=D2, boxes="(SELECT * FROM parcels WHERE id < 4)", points="(SELECT * FROM probes WHERE qid < 100)", k=5), "parcels", "probes")
-def knn_k_exceeds_n(parcels, probes):
-    return knn.knn(parcels.where("id < 4"), probes.where("qid < 100"), 5)
+@query(NEAREST.format(d=D2, boxes="regions", points="nations", k=10), "regions", "nations")
+def knn_k_exceeds_n(regions, nations):
+    return knn.knn(regions, nations, 10)
 
 
 @query("SELECT id, d AS distance_sq, row_number() OVER (ORDER BY d, id) AS rank FROM (SELECT id, " + D2.replace("q.x", "500").replace("q.y", "400") + " AS d FROM parcels a) ORDER BY d, id LIMIT 5", "parcels")
@@ -121,10 +126,10 @@ def knn_single(parcels):
     return knn.knn_single(parcels, 500, 400, 5)
 
 
-@query(NEAREST.format(d=D2.replace(", 0)", ", CAST(0 AS FLOAT))"), boxes="(SELECT id, x AS min_x, y AS min_y, x AS max_x, y AS max_y FROM vec2d)", points="(SELECT id AS qid, x, y FROM vec2d WHERE id % 10 = 0)", k=5), "vec2d")
+@query(NEAREST.format(d=D2.replace(", 0)", ", CAST(0 AS FLOAT))"), boxes="(SELECT id, x AS min_x, y AS min_y, x AS max_x, y AS max_y FROM vec2d)", points="(SELECT id AS qid, x, y FROM vec2d)", k=5), "vec2d")
 def knn_float32(vec2d):
     points = vec2d.select("id", F.col("x").alias("min_x"), F.col("y").alias("min_y"), F.col("x").alias("max_x"), F.col("y").alias("max_y"))
-    return knn.knn(points, vec2d.where("id % 10 = 0").select(F.col("id").alias("qid"), "x", "y"), 5)
+    return knn.knn(points, vec2d.select(F.col("id").alias("qid"), "x", "y"), 5)
 
 
 @query(JOINED, "parcels", "zones")
@@ -168,9 +173,9 @@ def join_edge_shared(parcels, zones):
     return met.select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"))
 
 
-@query("SELECT a.id AS id_a, b.id AS id_b FROM parcels a JOIN (SELECT id + 1000000 AS id, min_x, min_y, max_x, max_y FROM parcels WHERE id % 10 = 0) b USING (min_x, min_y, max_x, max_y)", "parcels")
+@query("SELECT a.id AS id_a, b.id AS id_b FROM parcels a JOIN (SELECT id + 1000000 AS id, min_x, min_y, max_x, max_y FROM parcels) b USING (min_x, min_y, max_x, max_y)", "parcels")
 def join_equal_boxes(parcels):
-    return join.equal_join(parcels, parcels.where("id % 10 = 0").withColumn("id", F.col("id") + 1000000))
+    return join.equal_join(parcels, parcels.withColumn("id", F.col("id") + 1000000))
 
 
 @query("SELECT b.qid, a.id, a.min_x AS x, a.min_y AS y FROM stops a JOIN windows b ON a.min_x > b.min_x AND a.min_x < b.max_x AND a.min_y > b.min_y AND a.min_y < b.max_y", "stops", "windows")
@@ -253,3 +258,72 @@ def sql_knn_distance(parcels, probes):
     register_sql(parcels.sparkSession)
     text = "SELECT q.qid, box_distance_sq(a.min_x, a.min_y, a.max_x, a.max_y, q.x, q.y) AS distance_sq FROM {a} a JOIN {q} q ON a.id = q.qid"
     return parcels.sparkSession.sql(text, a=parcels, q=probes)
+
+
+FIXED = "min_x, min_y, max_x, max_y, 100D, 100D, 300D, 300D"
+FIXED_SQL = {
+    "meets": "max_x >= 100 AND min_x <= 300 AND max_y >= 100 AND min_y <= 300", "holds": "min_x <= 100 AND max_x >= 300 AND min_y <= 100 AND max_y >= 300",
+    "same": "min_x = 100 AND max_x = 300 AND min_y = 100 AND max_y = 300", "edge": "min_x = 100 OR max_x = 300 OR min_y = 100 OR max_y = 300",
+    "inside": "500 > min_x AND 500 < max_x AND 400 > min_y AND 400 < max_y", "away": "sqrt(" + D2.replace("a.", "").replace("q.x", "500").replace("q.y", "400") + ")",
+    "wide": "max_x - min_x", "high": "max_y - min_y", "area": "(max_x - min_x) * (max_y - min_y)", "middle_x": "(min_x + max_x) / 2", "middle_y": "(min_y + max_y) / 2",
+    "ratio": "CASE WHEN max_y <> min_y THEN (max_x - min_x) / (max_y - min_y) WHEN max_x > min_x THEN 'Infinity'::DOUBLE ELSE 'NaN'::DOUBLE END",
+    "text": "printf('(%.6f, %.6f, %.6f, %.6f)', min_x, min_y, max_x, max_y)", "corner": "printf('(%.6f,%.6f)', min_x, min_y)",
+}
+
+
+@query("SELECT id, " + ", ".join(f"{v} AS {k}" for k, v in FIXED_SQL.items()) + " FROM parcels", "parcels")
+def sql_functions(parcels):
+    register_sql(parcels.sparkSession)
+    one, to = "min_x, min_y, max_x, max_y", "min_x, min_y, max_x, max_y, 500D, 400D"
+    text = f"""SELECT id, box_intersects({FIXED}) AS meets, box_contains({FIXED}) AS holds, box_equals({FIXED}) AS same, box_edge_overlaps({FIXED}) AS edge,
+        box_has_inside({to}) AS inside, box_distance({to}) AS away, box_width({one}) AS wide, box_height({one}) AS high, box_area({one}) AS area,
+        box_center_x({one}) AS middle_x, box_center_y({one}) AS middle_y, box_aspect_ratio({one}) AS ratio, box_text({one}) AS text, point_text(min_x, min_y) AS corner FROM {{a}}"""
+    return parcels.sparkSession.sql(text, a=parcels)
+
+
+def as_file(rows: DataFrame, order: str) -> str:
+    """The path of a text file with a line for each box, in the given order."""
+    path = scratch_dir(rows.sparkSession)
+    rows.orderBy(order).select(F.format_string("%s %s,%s %s", "min_x", "min_y", "max_x", "max_y")).write.text(path)
+    return path
+
+
+# Readers number the lines from 1.
+LINES = "lines AS (SELECT row_number() OVER (ORDER BY id) AS id, min_x, min_y, max_x, max_y FROM parcels)"
+ASKED = "asked AS (SELECT row_number() OVER (ORDER BY qid) AS qid, min_x, min_y, max_x, max_y FROM windows)"
+
+
+@query("SELECT row_number() OVER (ORDER BY id) AS id, min_x, min_y, max_x, max_y FROM parcels", "parcels")
+def read_boxes_file(parcels):
+    return text.read_boxes(parcels.sparkSession, as_file(parcels, "id"))
+
+
+@query("SELECT row_number() OVER (ORDER BY qid) AS qid, min_x, min_y, max_x, max_y FROM windows", "windows")
+def read_windows_file(windows):
+    return text.read_range_queries(windows.sparkSession, as_file(windows, "qid"))
+
+
+@query("SELECT row_number() OVER (ORDER BY qid) AS qid, (min_x + max_x) / 2 AS x, (min_y + max_y) / 2 AS y FROM windows", "windows")
+def read_points_file(windows):
+    return text.read_knn_queries(windows.sparkSession, as_file(windows, "qid"))
+
+
+def run_cli(spark: SparkSession, *args: str) -> DataFrame:
+    out = scratch_dir(spark)
+    cli.main(["--output", out, *args])
+    return spark.read.parquet(out)
+
+
+@query(f"SELECT b.qid, a.id FROM (WITH {LINES} SELECT * FROM lines) a JOIN (WITH {ASKED} SELECT * FROM asked) b ON {MEET}", "parcels", "windows")
+def cli_range(parcels, windows):
+    return run_cli(parcels.sparkSession, "range", as_file(parcels, "id"), as_file(windows, "qid"))
+
+
+@query(NEAREST.format(d=D2, boxes=f"(WITH {LINES} SELECT * FROM lines)", points=f"(WITH {ASKED} SELECT qid, (min_x + max_x) / 2 AS x, (min_y + max_y) / 2 AS y FROM asked)", k=3), "parcels", "windows")
+def cli_knn(parcels, windows):
+    return run_cli(parcels.sparkSession, "knn", "-k", "3", as_file(parcels, "id"), as_file(windows, "qid"))
+
+
+@query(f"SELECT a.id AS id_a, b.qid AS id_b FROM (WITH {LINES} SELECT * FROM lines) a JOIN (WITH {ASKED} SELECT * FROM asked) b ON {MEET}", "parcels", "windows")
+def cli_join(parcels, windows):
+    return run_cli(parcels.sparkSession, "join", as_file(parcels, "id"), as_file(windows, "qid"))

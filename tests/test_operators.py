@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -141,7 +142,7 @@ def test_index_keeps_every_row(spark, n):
     assert sorted(r.id for r in index.data.collect()) == [x[0] for x in a]
     leaves = index.leaves.collect()
     assert sum(r.n for r in leaves) == n
-    assert len(leaves) <= layout.MAX_LEAVES
+    assert len(leaves) <= layout.MAX_SIDE**2
     by = {r.node_id: r for r in leaves}
     for r in index.data.collect():
         leaf = by[r.node_id]
@@ -169,3 +170,44 @@ def test_aggregates_and_edits(spark):
     left = aggregates.delete_by_id(df, df.where("id < 10"))
     assert left.count() == 90
     assert aggregates.append(left, df.where("id < 10")).count() == 100
+
+
+@pytest.mark.parametrize("held", [4, 64])
+def test_descent_through_several_levels(spark, monkeypatch, tmp_path, held):
+    monkeypatch.setattr(layout, "HELD_NODES", held)
+    monkeypatch.setattr(layout, "FAN", 2)
+    a, w = boxes(900, 31, lattice=True), boxes(25, 32, 0.3)
+    data, windows = frame(spark, a), frame(spark, w).withColumnRenamed("id", "qid")
+    index = layout.build_index(data, 6)
+    assert index.side() == 12 and index.stats().first().rows == 900
+    sizes = [index.level(up, 12).agg({"n": "sum", "*": "count"}).first() for up in range(5)]
+    assert {r["sum(n)"] for r in sizes} == {900} and sizes[4]["count(1)"] == 1
+    index.save(str(tmp_path / "index"))
+    saved = layout.load(spark, str(tmp_path / "index"))
+    want = sorted((q[0], x[0]) for x in a for q in w if meet(x, q))
+    points = spark.createDataFrame([(q[0], q[1], q[2]) for q in w], "qid long, x double, y double")
+    near = pairs_of(knn.nested_knn(data, points, 5))
+    for one in (index, saved):
+        assert pairs_of(layout.index_range(one, windows)) == want
+        assert pairs_of(knn.index_knn(one, points, 5)) == near
+        assert pairs_of(layout.index_join(one, layout.build_index(frame(spark, w), 3))) == sorted((x[0], y[0]) for x in a for y in w if meet(x, y))
+    assert knn.index_knn(saved, points, 2000).count() == 900 * 25
+
+
+def test_saved_index_is_read_by_nodes(spark, tmp_path):
+    data = frame(spark, boxes(2000, 33, 0))
+    layout.build_index(data, 50).save(str(tmp_path / "index"))
+    index = layout.load(spark, str(tmp_path / "index"))
+    window = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 5.0)], SCHEMA.replace("id", "qid", 1))
+    plan = layout.index_range(index, window)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*(EqualTo|In|GreaterThanOrEqual)\(node_id", plan)
+    outside = spark.createDataFrame([(1, 1e6, 1e6, 2e6, 2e6)], SCHEMA.replace("id", "qid", 1))
+    assert layout.index_range(index, outside).count() == 0
+
+
+def test_equal_corners_stay_in_one_leaf(spark):
+    rows = [(i, 1.0, 1.0, 2.0, 2.0) for i in range(300)] + [(1000 + i, float(i), float(i % 7), float(i), float(i % 7)) for i in range(100)]
+    index = layout.build_index(frame(spark, rows), 10)
+    assert index.stats().first().rows == 400
+    window = spark.createDataFrame([(1, 1.5, 1.5, 1.6, 1.6)], SCHEMA.replace("id", "qid", 1))
+    assert layout.index_range(index, window).count() == 300

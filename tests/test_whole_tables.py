@@ -1,4 +1,4 @@
-"""Nearest neighbours and equal boxes over whole tables, against brute force; the registered queries take every tenth row."""
+"""Nearest neighbours and equal boxes over whole tables, against brute force."""
 
 from pathlib import Path
 
