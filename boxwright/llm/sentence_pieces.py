@@ -26,6 +26,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,6 +49,8 @@ UNITS = 1 << 15
 TABLE = 1 << 21
 #: Characters of a text that are cut at a time, distinct units that are counted at a time, and ids of a batch of rows.
 BLOCK, COUNTED, BATCH = 1 << 20, 1 << 17, 1 << 20
+#: Texts go to Python in batches of so many rows and about so many bytes at most, as the JVM and Python both hold a batch outside the heap.
+SENT = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 23}
 
 
 @dataclass
@@ -369,6 +372,19 @@ class Cache:
         return self.made
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Holds ``SENT`` for the plans that run meanwhile."""
+    before = {k: spark.conf.get(k) for k in SENT}
+    try:
+        for k, v in SENT.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def counts(texts: DataFrame, pieces: Pieces) -> DataFrame:
     """unit, n of the units of ``texts`` (text)."""
     cutter = Cutter(pieces.pieces)
@@ -393,7 +409,8 @@ def cache(docs: DataFrame, pieces: Pieces) -> Cache:
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = min(1.0, SAMPLE_BYTES / max(total, 1))
     sample = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counted = materialise(counts(sample.select("text"), pieces).where("n > 1"), "units")
+    with small_batches(docs.sparkSession):
+        counted = materialise(counts(sample.select("text"), pieces).where("n > 1"), "units")
     # the least count with which the cache keeps within its bounds; 10,000 rows at most
     levels = counted.groupBy(F.least("n", F.lit(10_000)).alias("least")).agg(F.count("*").alias("units"), F.sum(F.octet_length("unit")).alias("bytes"))
     least, units, size = 10_001, 0, 0
@@ -483,7 +500,9 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     kind = _packed(pieces)
-    coded = materialise(_runs(docs, cache(docs, pieces), kind), "coded", "zstd")
+    known = cache(docs, pieces)
+    with small_batches(docs.sparkSession):
+        coded = materialise(_runs(docs, known, kind), "coded", "zstd")
     others = coded.where("unit is not null")
     lex = materialise(lexicon(materialise(others.select("unit").distinct(), "units"), pieces), "lexicon")
     met = others.drop("ids").join(lex, "unit")
