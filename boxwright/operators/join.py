@@ -6,6 +6,10 @@ wide and high as itself, so it lies in four cells at most, there and in all
 coarser grids.  Two boxes meet in the coarser of their own grids, in the cell
 that holds the lower left corner of their intersection: each pair comes out
 exactly once, without a distinct, whatever the sizes of the boxes are.
+
+Where boxes crowd, a cell may hold many pairs.  Such cells are counted first,
+and both sides of one are dealt into parts, each of which meets every part of
+the other side in a task of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +24,10 @@ from boxwright.functions.geometry import Box, box, intersects
 RATIO, ROWS_PER_CELL = 4.0, 16
 #: Up to this number of pairs, and of rows on the broadcast side, a nested loop is cheaper than a grid.
 NESTED_PAIRS, NESTED_ROWS = 20_000_000, 50_000
+#: A cell with more than ``CROWD`` squared pairs is dealt into parts of about ``CROWD`` rows; so many such cells are sent to all executors, more are joined by shuffle.
+CROWD, BROADCAST_CELLS = 1 << 15, 100_000
 FIELDS = Box._fields
+CELL = ("_grid", "_cx", "_cy")
 
 
 @dataclass(frozen=True)
@@ -65,9 +72,32 @@ def _levels(df: DataFrame) -> list[int]:
     return sorted(r[0] for r in df.select("_level").distinct().collect())
 
 
-def grid_join(a: DataFrame, b: DataFrame, side: float | None = None) -> DataFrame:
+def _crowded(x: DataFrame, y: DataFrame) -> DataFrame | None:
+    """_grid, _cx, _cy, _a_parts, _b_parts of the crowded cells, if there are any."""
+    cells = [df.select(*(F.col(f"_{n}{k}").alias(k) for k in CELL), F.lit(int(n == "a")).alias("a"), F.lit(int(n == "b")).alias("b")) for df, n in ((x, "a"), (y, "b"))]
+    counted = cells[0].union(cells[1]).groupBy(*CELL).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    parts = (F.ceil(F.col(n) / CROWD).alias(f"_{n}_parts") for n in ("a", "b"))
+    hot = counted.where(F.col("a").cast("double") * F.col("b") > float(CROWD) ** 2).select(*CELL, *parts)
+    found = hot.take(BROADCAST_CELLS + 1)
+    if not found:
+        return None
+    return hot if len(found) > BROADCAST_CELLS else F.broadcast(x.sparkSession.createDataFrame(found, hot.schema))
+
+
+def _parted(df: DataFrame, hot: DataFrame, name: str, other: str) -> DataFrame:
+    """``df`` with the part of each row, and a copy for each part of the other side."""
+    met = df.join(hot, [F.col(f"_{name}{k}") == F.col(k) for k in CELL], "left").drop(*CELL)
+    hashed = [c for c in df.columns if c.startswith(f"{name}_") and "map<" not in df.schema[c].dataType.simpleString()]
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    own = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in hashed)), F.coalesce(f"_{name}_parts", one))
+    copies = F.explode(F.sequence(none, F.coalesce(f"_{other}_parts", one) - 1))
+    return met.withColumn(f"_{name}_{name}", own).withColumn(f"_{name}_{other}", copies).drop("_a_parts", "_b_parts")
+
+
+def grid_join(a: DataFrame, b: DataFrame, side: float | None = None, most: float = float("inf")) -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` whose boxes intersect; the columns of
-    both, those of ``a`` with prefix a_, those of ``b`` with prefix b_."""
+    both, those of ``a`` with prefix a_, those of ``b`` with prefix b_.  Cells
+    are not counted if ``most``, a bound of all pairs, makes none crowded."""
     side = side or cell_side(spread(a), spread(b))
     left, right = (x.withColumn("_level", _level(box(), side)) for x in (a, b))
     here, there = _levels(left), _levels(right)
@@ -78,13 +108,16 @@ def grid_join(a: DataFrame, b: DataFrame, side: float | None = None) -> DataFram
         out = df.withColumn("_grid", F.explode(grids)).withColumn("_side", F.lit(side) * F.pow(F.lit(RATIO), F.col("_grid")))
         at = lambda v: F.floor(v / F.col("_side")).cast("bigint")
         out = out.withColumn("_cx", F.explode(F.sequence(at(c.min_x), at(c.max_x)))).withColumn("_cy", F.explode(F.sequence(at(c.min_y), at(c.max_y))))
-        return out.select(*(F.col(n).alias(f"{name}_{n}") for n in df.columns), *(F.col(k).alias(f"_{name}{k}") for k in ("_grid", "_cx", "_cy")))
+        return out.select(*(F.col(n).alias(f"{name}_{n}") for n in df.columns), *(F.col(k).alias(f"_{name}{k}") for k in CELL))
 
     x, y = dealt(left, "a", there), dealt(right, "b", here)
     width = F.lit(side) * F.pow(F.lit(RATIO), F.col("_a_grid"))
     own = F.greatest("a__level", "b__level") == F.col("_a_grid")
     corner = (F.floor(F.greatest("a_min_x", "b_min_x") / width).cast("bigint") == F.col("_a_cx")) & (F.floor(F.greatest("a_min_y", "b_min_y") / width).cast("bigint") == F.col("_a_cy"))
     same = (F.col("_a_grid") == F.col("_b_grid")) & (F.col("_a_cx") == F.col("_b_cx")) & (F.col("_a_cy") == F.col("_b_cy"))
+    if most > float(CROWD) ** 2 and (hot := _crowded(x, y)) is not None:
+        x, y = _parted(x, hot, "a", "b"), _parted(y, hot, "b", "a")
+        same &= (F.col("_a_a") == F.col("_b_a")) & (F.col("_a_b") == F.col("_b_b"))
     met = x.join(y, same & own & corner & intersects(box("a_"), box("b_")))
     return met.select(*(f"a_{n}" for n in a.columns), *(f"b_{n}" for n in b.columns))
 
@@ -103,7 +136,7 @@ def box_join(a: DataFrame, b: DataFrame, strategy: str = "auto") -> DataFrame:
     sa, sb = spread(a), spread(b)
     if strategy == "auto" and sb.rows <= NESTED_ROWS and sa.rows * sb.rows <= NESTED_PAIRS:
         return nested_join(a, b)
-    return grid_join(a, b, cell_side(sa, sb))
+    return grid_join(a, b, cell_side(sa, sb), float(sa.rows) * sb.rows)
 
 
 def join_pairs(a: DataFrame, b: DataFrame, strategy: str = "auto") -> DataFrame:

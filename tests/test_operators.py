@@ -57,6 +57,20 @@ def test_grid_on_degenerate_sets(spark):
     assert join.join_pairs(frame(spark, []), frame(spark, []), "grid").count() == 0
 
 
+def test_crowded_cells_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(join, "CROWD", 8)
+    crowd = [(1000 + i, 3.0 + i / 1000, 3.0, 3.0 + i / 1000 + i % 3 / 900, 3.0 + i % 2) for i in range(150)]
+    a, b = boxes(150, 21, lattice=True) + crowd, boxes(150, 22) + [(i + 500, *rest) for i, *rest in crowd]
+    want = sorted((x[0], y[0]) for x in a for y in b if meet(x, y))
+    for most in (100_000, 0):  # few crowded cells are broadcast, more are not
+        monkeypatch.setattr(join, "BROADCAST_CELLS", most)
+        met = join.join_pairs(frame(spark, a), frame(spark, b), "grid")
+        assert pairs_of(met) == want
+        assert "_a_parts" in met._jdf.queryExecution().toString()
+    columns = join.grid_join(frame(spark, a), frame(spark, b), 64.0).columns
+    assert columns == [f"{n}_{c}" for n in "ab" for c in ("id", "min_x", "min_y", "max_x", "max_y")]
+
+
 def test_self_semi_grouped_equal(spark):
     a = boxes(200, 5)
     df = frame(spark, a)
