@@ -249,6 +249,10 @@ def delete_by_id(parcels, windows):
 @query(PAIRS, "parcels", "windows")
 def sql_range(parcels, windows):
     register_sql(parcels.sparkSession)
+    rows, asked = parcels.count(), windows.count()
+    if not join.few(rows, asked):
+        text = "SELECT b_qid AS qid, a_id AS id FROM {pairs} WHERE box_intersects(a_min_x, a_min_y, a_max_x, a_max_y, b_min_x, b_min_y, b_max_x, b_max_y)"
+        return parcels.sparkSession.sql(text, pairs=join.cell_pairs(parcels, windows, most=float(rows) * asked))
     text = "SELECT /*+ BROADCAST(b) */ b.qid, a.id FROM {a} a JOIN {b} b ON box_intersects(a.min_x, a.min_y, a.max_x, a.max_y, b.min_x, b.min_y, b.max_x, b.max_y)"
     return parcels.sparkSession.sql(text, a=parcels, b=windows)
 

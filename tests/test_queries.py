@@ -53,6 +53,14 @@ def test_grid_plan(spark):
     assert "CartesianProduct" not in text and "NestedLoop" not in text and "Python" not in text
 
 
+def test_sql_range_of_large_sets(spark, duck, monkeypatch):
+    monkeypatch.setattr(join, "NESTED_PAIRS", 0)
+    got = queries.QUERIES["sql_range"](spark, str(DATA))
+    text = plan(got)
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+    assert normal(got.toPandas()) == normal(duck.sql(queries.ORACLES["sql_range"]).df())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
