@@ -239,3 +239,16 @@ def test_knn_searches_a_point_once(spark, monkeypatch):
         monkeypatch.setattr(knn, "NESTED_ROWS", rows)
         assert pairs_of(knn.knn(data, points, 5, 16, "indexed")) == want
     assert len(want) == 450 and asked == [8, 8]
+
+
+def test_index_knn_looks_at_no_more_rows_for_more_queries_at_a_point(spark, monkeypatch):
+    looked = []
+    monkeypatch.setattr(knn, "pruned", lambda index, near: looked.append(near.count()) or layout.pruned(index, near))
+    data = frame(spark, boxes(300, 53, lattice=True))
+    index = layout.build_index(data, 16)
+    r = random.Random(54)
+    places = [(r.uniform(-500, 500), r.uniform(-500, 500)) for _ in range(5)]
+    for copies in (1, 20):
+        points = spark.createDataFrame([(i, *places[i % 5]) for i in range(5 * copies)], "qid long, x double, y double")
+        assert pairs_of(knn.index_knn(index, points, 3)) == pairs_of(knn.nested_knn(data, points, 3))
+    assert looked[0] == looked[1]
