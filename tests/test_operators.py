@@ -252,3 +252,13 @@ def test_index_knn_looks_at_no_more_rows_for_more_queries_at_a_point(spark, monk
         points = spark.createDataFrame([(i, *places[i % 5]) for i in range(5 * copies)], "qid long, x double, y double")
         assert pairs_of(knn.index_knn(index, points, 3)) == pairs_of(knn.nested_knn(data, points, 3))
     assert looked[0] == looked[1]
+
+
+def test_knn_of_one_from_large_sets_searches_a_point_once(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(knn, "candidate_leaves", lambda index, queries, k: asked.append(queries.count()) or layout.candidate_leaves(index, queries, k))
+    monkeypatch.setattr(knn, "NESTED_PAIRS", 0)
+    data = frame(spark, boxes(300, 55, lattice=True))
+    points = spark.createDataFrame([(i, float(i % 3), 2.0) for i in range(30)], "qid long, x double, y double")
+    assert pairs_of(knn.knn(data, points, 1, 16)) == pairs_of(knn.nested_knn(data, points, 1))
+    assert asked == [3] and knn.knn(data, points, 1, 16).count() == 30
