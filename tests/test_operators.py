@@ -264,7 +264,7 @@ def test_knn_of_one_from_large_sets_searches_a_point_once(spark, monkeypatch):
     assert asked == [3] and knn.knn(data, points, 1, 16).count() == 30
 
 
-@pytest.mark.parametrize("k", [5])
+@pytest.mark.parametrize("k", [1, 5])
 def test_knn_leaves_the_rows_of_an_index_where_they_are(spark, monkeypatch, k):
     shuffled = lambda df: re.search(r"hashpartitioning\(node_id#\d+L?, \d+\), ENSURE", df._jdf.queryExecution().executedPlan().toString())
     monkeypatch.setattr(knn, "NESTED_PAIRS", 0)
